@@ -1,0 +1,52 @@
+"""Connected components of a link table by alternating large-star and small-star steps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from millrace.core.durable import cut
+
+
+def _lowest(edges: DataFrame) -> DataFrame:
+    """Each node u with its least neighbour, itself included; a hot node is pre-aggregated before the shuffle."""
+    return edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+
+
+def _both_ways(edges: DataFrame) -> DataFrame:
+    return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Link every larger neighbour of a node to the node's least neighbour."""
+    both = _both_ways(edges)
+    return both.join(_lowest(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Link a node and its smaller neighbours to the least of them; edges run from larger to smaller."""
+    low = _lowest(edges)
+    moved = edges.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+
+
+def _print(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) of every node that has a link to another; root is the least node reachable.
+
+    links has two columns of one orderable type; direction, repeats and loops don't
+    matter, and rows with a null are left out. Every step is a join on a node or a
+    distinct, never a list of neighbours; each pair of steps ends in a checkpoint.
+    """
+    a, b = links.columns
+    edges = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+    edges, seen = cut(edges), None
+    while (now := _print(edges)) != seen and now[0]:
+        seen = now
+        edges = cut(_small_star(_large_star(edges)))
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+        edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    )
