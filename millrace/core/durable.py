@@ -22,7 +22,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows read back from a reliable checkpoint."""
+def cut(df: DataFrame, rows: int | None = None, lot: int = 50_000) -> DataFrame:
+    """The same rows read back from a reliable checkpoint.
+
+    rows, an upper bound of their number where one is known, keeps a small table from
+    being written as many tiny files: it gets a file for each lot rows at most.
+    """
     ensure_checkpoint_dir(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // lot)))
     return df.checkpoint(eager=True)
