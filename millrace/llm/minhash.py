@@ -148,21 +148,21 @@ def near_duplicates(
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen.select("id").distinct(), "id", "left_semi")
     sets = cut(_sets(texts, width).join(wanted, "node", "left_semi").dropDuplicates(["node"]))
 
+    count = members.count()
     pairs = members.where("node <> pivot").groupBy("node").agg(F.min("pivot").alias("b")).withColumnRenamed("node", "a")
-    links = cut(_verified(pairs, sets, percent))
-    labels = components(links)
-    members = cut(_open_buckets(_labelled(members.select("key", "node", "n"), labels)))
+    labels = components(cut(_verified(pairs, sets, percent), count))
+    members = cut(_open_buckets(_labelled(members.select("key", "node", "n"), labels)), count)
     pivots, turn = 1, 0
-    while not members.isEmpty():
+    while count := members.count():
         lot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(pivots))
         met = members.groupBy("key", lot.alias("lot")).agg(F.min(F.struct("node", "n", "root")).alias("p")).select("key", "p")
         across = members.join(met, "key").where(F.col("root") != F.col("p.root"))
-        sized = across.where((100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")))
+        sized = across.where(100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n"))
         pairs = sized.select(F.least("node", F.col("p.node")).alias("a"), F.greatest("node", F.col("p.node")).alias("b")).distinct()
-        links = cut(_verified(pairs, sets, percent).unionByName(labels.toDF("a", "b")))
-        labels = components(links)
+        links = cut(_verified(pairs, sets, percent), count * pivots)
+        labels = components(links.unionByName(labels.toDF("a", "b")))
         rest = members.drop("root").join(met.select("key", F.col("p.node").alias("node")), ["key", "node"], "left_anti")
-        members = cut(_open_buckets(_labelled(rest, labels)))
+        members = cut(_open_buckets(_labelled(rest, labels)), count)
         pivots, turn = pivots * 8, turn + 1
 
     named = _labelled(classes.select("node", "first_id"), labels)
