@@ -169,16 +169,36 @@ def contaminated(
     id_type, item_type = docs.schema[id_col].dataType, items.schema[item_id].dataType
     schema = T.StructType([T.StructField("id", id_type), T.StructField("item", item_type)]).add("first_word", "long").add("n_words", "long").add("similarity", "double")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    own = items.select(F.col(item_id).alias("item"), F.col(item_text).alias("text")).where(F.length("text") > 0)
-    lots = max(1, -(-own.count() // at_once))
     out = None
-    for lot in range(lots):
-        chosen = own.where(F.pmod(F.xxhash64("item", "text"), F.lit(lots)) == lot) if lots > 1 else own
-        found = texts.mapInArrow(_finder([tuple(r) for r in chosen.collect()], to_arrow_type(item_type), width, least), schema)
+    for lot in _lots(items, item_id, item_text, at_once):
+        found = texts.mapInArrow(_finder(lot, to_arrow_type(item_type), width, least), schema)
         out = found if out is None else out.unionByName(found)
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_id), "first_word", "n_words", "similarity")
 
 
+def uncontaminated(
+    docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 5, least: float = 0.8, at_once: int = 20_000
+) -> DataFrame:
+    """The rows of docs, with all their columns, in which contaminated() would find no item. Nothing is shuffled."""
+    ship(docs.sparkSession)
+    for lot in _lots(items, item_id, item_text, at_once):
+
+        def run(batches: Iterator[pa.RecordBatch], lot=lot) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(lot, width, least)
+            for part in text_slices(batches, text_col):
+                yield part.filter(pa.array([not matcher.find(t) for t in part.column(text_col).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
+def _lots(items: DataFrame, item_id: str, item_text: str, at_once: int) -> list[list[tuple]]:
+    """The items with text in lots of about at_once rows; one empty lot if there are none."""
+    own = items.select(F.col(item_id).alias("item"), F.col(item_text).alias("text")).where(F.length("text") > 0)
+    n = max(1, -(-own.count() // at_once))
+    return [[tuple(r) for r in own.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == lot).collect()] for lot in range(n)]
+
+
 def _finder(items: list[tuple], item_type: pa.DataType, width: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(items, width, least)

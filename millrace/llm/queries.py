@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontaminate, minhash, secret_scan
+from millrace.llm import bpe, decontaminate, minhash, quality, secret_scan
 
 #: Where the vocabulary of op8 and the pipeline comes from.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -40,8 +40,12 @@ def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.sample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_secret_scans, op4_minhash_near_dedup, op7_benchmark_decontamination, op8_bpe_encode_decode]
+    found = [op3_secret_scans, op4_minhash_near_dedup, op7_benchmark_decontamination, op8_bpe_encode_decode, op9_quality_classifier]
     return {f.__name__: f for f in found}
 
 
