@@ -88,7 +88,7 @@ def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
         ship(links.sparkSession)
         kind = links.schema[a].dataType
         schema = T.StructType([T.StructField("node", kind), T.StructField("root", kind)])
-        return cut(links.repartition(1).mapInArrow(_joined, schema), 2 * n, 2 * one_task)
+        return cut(links.repartition(1).mapInArrow(_joined, schema))
     edges, seen = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), None
     while (now := _print(edges)) != seen:
         seen = now

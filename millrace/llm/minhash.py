@@ -76,17 +76,19 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, rows: int,
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """(node, elements) of each row of (text)."""
+def _sets(docs: DataFrame, width: int, rows: int, bands: int) -> DataFrame:
+    """(node, elements, keys) of each row of (text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text"):
-            sets = [shingle_set(t, width) for t in part.column("text").to_pylist()]
+            sets = [s for t in part.column("text").to_pylist() if len(s := shingle_set(t, width))]
+            keys = [band_keys(similarity_sketch(s, rows * bands), bands).view(np.int64) for s in sets]
+            longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(map(_node, sets), pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "elements"]
+                [pa.array(map(_node, sets), pa.binary()), pa.array([s.view(np.int64) for s in sets], longs), pa.array(keys, longs)], ["node", "elements", "keys"]
             )
 
-    return docs.select("text").mapInArrow(run, "node binary, elements array<long>")
+    return docs.select("text").mapInArrow(run, "node binary, elements array<long>, keys array<long>")
 
 
 def _similar(a: Column, b: Column, common: Column, percent: int) -> Column:
@@ -112,8 +114,83 @@ def _open_buckets(members: DataFrame) -> DataFrame:
     return members.join(mixed, "key")
 
 
+def _tile(percent: int):
+    """Links across components between the nodes of one block, or of two, as a forest over the components.
+
+    Only pairs that share a band count. A node's set is looked up in the sets of all
+    its candidates at once; pairs connected by then are skipped.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        first = table.column("i").to_numpy() == table.column("block").to_numpy()
+        nodes, roots = table.column("node").to_pylist(), table.column("root").to_pylist()
+        lists = table.column("elements").combine_chunks()
+        ends = lists.offsets.to_numpy()
+        values, codes = np.unique(lists.values.to_numpy()[ends[0] : ends[-1]], return_inverse=True)
+        ends = ends - ends[0]
+        keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(len(nodes), -1)
+        sizes = np.diff(ends)
+        parent = {r: r for r in roots}
+
+        def top(r):
+            while parent[r] != r:
+                parent[r] = r = parent[parent[r]]
+            return r
+
+        same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        left, right = (np.arange(len(nodes)),) * 2 if same else (np.flatnonzero(first), np.flatnonzero(~first))
+        mark, links = np.zeros(len(values), bool), []
+        for a in left.tolist():
+            others = right[right > a] if same else right
+            others = others[(keys[others] == keys[a]).any(axis=1)]
+            others = others[100 * np.minimum(sizes[others], sizes[a]) >= percent * np.maximum(sizes[others], sizes[a])]
+            own = top(roots[a])
+            others = np.array([b for b in others.tolist() if top(roots[b]) != own], dtype=int)
+            if not len(others):
+                continue
+            mark[codes[ends[a] : ends[a + 1]]] = True
+            found = np.concatenate([codes[ends[b] : ends[b + 1]] for b in others.tolist()])
+            starts = np.concatenate([[0], np.cumsum(sizes[others])[:-1]])
+            common = np.add.reduceat(mark[found].astype(np.int64), starts)
+            mark[codes[ends[a] : ends[a + 1]]] = False
+            for b in others[100 * common >= percent * (sizes[a] + sizes[others] - common)].tolist():
+                x, y = top(roots[a]), top(roots[b])
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    links.append((nodes[a], nodes[b]))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.binary()), "b": pa.array([b for _, b in links], pa.binary())})
+
+    return run
+
+
+def _across(members: DataFrame, sets: DataFrame, percent: int, block: int, large: int) -> DataFrame:
+    """The links (a, b), as far as components need them, between members (key, node, n, root) of one bucket.
+
+    Buckets that share members are taken together as a group, so that a pair is looked
+    at once however many bands it shares; the buckets of a group of more than large
+    elements stay apart. A group is dealt out to blocks of about block elements by a
+    hash of the node, and each pair of blocks is one task's work: no pair of nodes
+    becomes a row, and no task holds more than two blocks.
+    """
+    hubs = members.groupBy("key").agg(F.min("node").alias("hub"))
+    joined = components(cut(members.join(hubs, "key").select("node", "hub").distinct()))
+    named = joined.withColumnRenamed("root", "group")
+    nodes = members.select("node", "n", "root").distinct().join(named, "node")
+    sizes = nodes.groupBy("group").agg(F.sum("n").alias("total"))
+    whole = nodes.join(sizes.where(F.col("total") <= large), "group").select("group", "node", "root", "total")
+    apart = members.join(named, "node").join(sizes.where(F.col("total") > large).select("group"), "group", "left_semi")
+    apart = apart.select(F.col("key").cast("string").cast("binary").alias("group"), "node", "root", "n")
+    parts = apart.groupBy("group").agg(F.sum("n").alias("total"))
+    every = whole.unionByName(apart.join(parts, "group").select("group", "node", "root", "total"))
+    blocks = F.ceil(F.col("total") / block).cast("int")
+    dealt = every.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(sets, "node")
+    placed = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = placed.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "elements", "keys")
+    return tiles.groupBy("group", "i", "j").applyInArrow(_tile(percent), "a binary, b binary")
+
+
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, rows: int = 5, bands: int = 32
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, rows: int = 5, bands: int = 32, block: int = 600_000, large: int = 20_000_000
 ) -> DataFrame:
     """Group documents whose sets of word shingles have a Jaccard similarity of percent / 100 or more.
 
@@ -130,10 +207,8 @@ def near_duplicates(
 
     No bucket is expanded into all its pairs. First each node is compared with one
     pivot, the least node of its buckets; that joins most copies. Buckets that still
-    hold several components are then compared with 1, 8, 64, ... further pivots, only
-    across components; a pivot that has met its whole bucket leaves it. This goes on
-    until no bucket holds two components, so every pair that shares a bucket is either
-    compared or already connected.
+    hold several components are then compared across components in tiles, see
+    _across(), so every pair that shares a bucket is either compared or connected.
     """
     ship(docs.sparkSession)
     base = cut(sketches(docs, id_col, text_col, width, rows, bands))
@@ -146,24 +221,15 @@ def near_duplicates(
     wanted = members.select("node").distinct()
     chosen = base.where("node is not null").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen.select("id").distinct(), "id", "left_semi")
-    sets = cut(_sets(texts, width).join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    sets = cut(_sets(texts, width, rows, bands).join(wanted, "node", "left_semi").dropDuplicates(["node"]))
 
     count = members.count()
     pairs = members.where("node <> pivot").groupBy("node").agg(F.min("pivot").alias("b")).withColumnRenamed("node", "a")
     labels = components(cut(_verified(pairs, sets, percent), count))
     members = cut(_open_buckets(_labelled(members.select("key", "node", "n"), labels)), count)
-    pivots, turn = 1, 0
-    while count := members.count():
-        lot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(pivots))
-        met = members.groupBy("key", lot.alias("lot")).agg(F.min(F.struct("node", "n", "root")).alias("p")).select("key", "p")
-        across = members.join(met, "key").where(F.col("root") != F.col("p.root"))
-        sized = across.where(100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n"))
-        pairs = sized.select(F.least("node", F.col("p.node")).alias("a"), F.greatest("node", F.col("p.node")).alias("b")).distinct()
-        links = cut(_verified(pairs, sets, percent), count * pivots)
+    if not members.isEmpty():
+        links = cut(_across(members, sets, percent, block, large))
         labels = components(links.unionByName(labels.toDF("a", "b")))
-        rest = members.drop("root").join(met.select("key", F.col("p.node").alias("node")), ["key", "node"], "left_anti")
-        members = cut(_open_buckets(_labelled(rest, labels)), count)
-        pivots, turn = pivots * 8, turn + 1
 
     named = _labelled(classes.select("node", "first_id"), labels)
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
