@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontaminate, minhash, quality, secret_scan
+from millrace.core.durable import cut, ensure_checkpoint_dir
+from millrace.llm import bpe, decontaminate, minhash, quality, secret_scan, vectors, warc
 
 #: Where the vocabulary of op8 and the pipeline comes from.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -31,6 +33,23 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    folder = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    last = warc.read(spark, warc.write(pages, folder), data=False).where("last")
+    id_type = pages.schema["page_id"].dataType
+    out = last.select(
+        F.nullif("record", F.lit("")).cast(id_type).alias("page_id"), F.col("n_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", F.col("refers_to").cast(id_type).alias("refers_to")
+    )
+    out = cut(out)
+    warc.delete(spark, folder)
+    return out
+
+
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -45,7 +64,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_secret_scans, op4_minhash_near_dedup, op7_benchmark_decontamination, op8_bpe_encode_decode, op9_quality_classifier]
+    found = [op3_secret_scans, op4_minhash_near_dedup, op5_warc, op6_embedding_near_dedup, op7_benchmark_decontamination, op8_bpe_encode_decode, op9_quality_classifier]
     return {f.__name__: f for f in found}
 
 
