@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.core.durable import cut, ensure_checkpoint_dir
-from millrace.llm import bpe, decontaminate, lm_scoring, minhash, quality, secret_scan, vectors, warc
+from millrace.llm import bpe, chat_format, decontaminate, license_scan, lm_scoring, minhash, quality, secret_scan, vectors, warc
 
 #: Where the vocabulary of op8 and the pipeline comes from.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,6 +26,15 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", *hits, F.round("log_score", 6).alias("log_score"))
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs are conversations 2k (chosen) and 2k + 1 (rejected)."""
+    turns = _table(spark, sf_dir, "conversations").withColumn("pair_id", F.shiftright("conv_id", 1))
+    odd = F.col("conv_id").bitwiseAND(F.lit(1)) == 1
+    shown = lambda mask: F.concat_ws(",", F.transform(mask, lambda s: F.concat_ws(":", s["start"], s["end"]))).alias(mask)
+    pairs = chat_format.preferences(turns.where(~odd), turns.where(odd), "pair_id")
+    return pairs.select("pair_id", "n_prompt_turns", "prompt", "chosen", shown("chosen_mask"), "rejected", shown("rejected_mask"))
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(_table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -69,8 +78,16 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.sample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's path is its source, language and id."""
+    docs = _table(spark, sf_dir, "documents")
+    path = F.concat(F.lit("/"), F.coalesce("source", F.lit("")), F.lit("/"), F.coalesce("lang", F.lit("")), F.lit("/"), F.col("doc_id").cast("string"))
+    found = license_scan.licences(docs.select(path.alias("path"), "text"))
+    return found.select(F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), "path", "licence", F.round("score", 6).alias("score"), "how", "origin")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_lm_scoring, op3_secret_scans, op4_minhash_near_dedup, op5_warc, op6_embedding_near_dedup, op7_benchmark_decontamination, op8_bpe_encode_decode, op9_quality_classifier]
+    found = [op1_lm_scoring, op2_chat_formatting, op3_secret_scans, op4_minhash_near_dedup, op5_warc, op6_embedding_near_dedup, op7_benchmark_decontamination, op8_bpe_encode_decode, op9_quality_classifier, op10_license_scans]
     return {f.__name__: f for f in found}
 
 

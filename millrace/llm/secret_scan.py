@@ -10,6 +10,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.arrays import ends, given
+
 #: Kind, pattern, group whose length counts, its least length.
 PATTERNS = [
     ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
@@ -35,35 +37,6 @@ LENGTHS = [24, 32, 48, 96]
 _STEP, _MOST = 0.05, 120
 
 
-def _given(value: Column, use) -> Column:
-    """use(value), with value computed once: inside a lambda, an outer expression would be computed for each element."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
-def _ends(lengths: Column) -> Column:
-    """Running sums of an array of lengths.
-
-    Sums are taken over blocks of about sqrt(n), so a text with very many matches costs n^1.5 steps, not n^2.
-    """
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
-    width = F.greatest(F.lit(1), F.floor(F.sqrt(F.size(lengths).cast("double"))).cast("int"))
-
-    def blocks(b: Column) -> Column:
-        starts = F.sequence(F.lit(0), ((F.size(b["lengths"]) - 1) / b["width"]).cast("int"))
-        sums = F.transform(starts, lambda k: total(F.slice(b["lengths"], k * b["width"] + 1, b["width"])))
-        return F.struct(b["lengths"].alias("lengths"), b["width"].alias("width"), sums.alias("sums"))
-
-    def offsets(b: Column) -> Column:
-        before = F.transform(b["sums"], lambda _, k: total(F.slice(b["sums"], F.lit(1), k)))
-        return F.struct(b["lengths"].alias("lengths"), b["width"].alias("width"), before.alias("before"))
-
-    def ends(b: Column) -> Column:
-        block = lambda i: (i / b["width"]).cast("int")
-        return F.transform(b["lengths"], lambda _, i: F.get(b["before"], block(i)) + total(F.slice(b["lengths"], block(i) * b["width"] + 1, i % b["width"] + 1)))
-
-    return _given(_given(_given(F.struct(lengths.alias("lengths"), width.alias("width")), blocks), offsets), ends)
-
-
 def _spans(text: Column, kind: str, rank: int, pattern: str, group: int, least: int) -> Column:
     """Spans (start, rank, end, kind, found) of leftmost, non-overlapping matches whose group is long enough.
 
@@ -79,14 +52,14 @@ def _spans(text: Column, kind: str, rank: int, pattern: str, group: int, least:
 
     def placed(p: Column) -> Column:
         lengths = F.transform(p["found"], lambda f, i: (F.get(p["gaps"], i) + F.length(f)).cast("long"))
-        return F.struct(p["found"].alias("found"), p["n"].alias("n"), _ends(lengths).alias("ends"))
+        return F.struct(p["found"].alias("found"), p["n"].alias("n"), ends(lengths).alias("ends"))
 
     def spans(p: Column) -> Column:
         one = lambda f, i: F.struct((F.get(p["ends"], i) - F.length(f)).alias("start"), F.lit(rank).alias("rank"), F.get(p["ends"], i).alias("end"), F.lit(kind).alias("kind"), f.alias("found"))
         whole = F.transform(p["found"], one)
         return F.filter(whole, lambda s, i: F.get(p["n"], i) >= least)
 
-    return _given(matches, lambda m: F.when(F.size(m) > 0, _given(_given(parts(m), placed), spans)).otherwise(none))
+    return given(matches, lambda m: F.when(F.size(m) > 0, given(given(parts(m), placed), spans)).otherwise(none))
 
 
 def _tail(z: Column) -> Column:
