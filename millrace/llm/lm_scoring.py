@@ -29,13 +29,19 @@ from millrace.llm.text import fold, text_slices, word_hashes
 _ROOT = np.uint64(0)
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Bytes of whole numbers by significance, so that those of sorted or small ones compress."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers of 64 bits, compressed by bytes of equal significance, as those of small ones are alike."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
-def _numbers(planes: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+def _numbers(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).ravel()
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Sorted numbers as the first and the differences."""
+    return np.diff(x, prepend=np.uint64(0))
 
 
 def _blocks(texts: DataFrame, size: int) -> DataFrame:
@@ -43,7 +49,7 @@ def _blocks(texts: DataFrame, size: int) -> DataFrame:
     id_type = texts.schema["id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, pack = pa.list_(to_arrow_type(id_type)), zstandard.ZstdCompressor(level=3)
+        kind, pack = pa.list_(to_arrow_type(id_type)), zstandard.ZstdCompressor(level=6)
         first, n = TaskContext.get().partitionId() << 32, 0
         ids, held, total = [], [], 0
 
@@ -106,7 +112,7 @@ def _asked(blocks: DataFrame, order: int, bits: int) -> DataFrame:
                 edges = np.searchsorted(grams, np.arange(1, 2**bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
                 parts = list(zip(np.split(grams, edges), np.split(totals, edges)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(len(parts)), pa.int32()), pa.array([block] * len(parts)), pa.array([_planes(g) for g, _ in parts], pa.binary()), pa.array([_planes(t) for _, t in parts], pa.binary())],
+                    [pa.array(range(len(parts)), pa.int32()), pa.array([block] * len(parts)), pa.array([_packed(_steps(g)) for g, _ in parts], pa.binary()), pa.array([_packed(t) for _, t in parts], pa.binary())],
                     ["bucket", "block", "grams", "counts"],
                 )
 
@@ -116,7 +122,7 @@ def _asked(blocks: DataFrame, order: int, bits: int) -> DataFrame:
 def _added(table: pa.Table) -> pa.Table:
     """One partition of the count table: the totals of each block's n-grams, in the order in which it sent them."""
     blocks = table.column("block")
-    grams = [_numbers(b) for b in table.column("grams").to_pylist()]
+    grams = [np.cumsum(_numbers(b), dtype=np.uint64) for b in table.column("grams").to_pylist()]
     counts = np.concatenate([_numbers(b) for b in table.column("counts").to_pylist()])
     ends = np.cumsum([len(g) for g in grams])
     every = np.concatenate(grams)
@@ -126,27 +132,21 @@ def _added(table: pa.Table) -> pa.Table:
     sums = np.add.reduceat(counts[order], np.flatnonzero(new)) if len(every) else counts
     totals = np.empty_like(counts)
     totals[order] = sums[np.cumsum(new) - 1] if len(every) else counts
-    return pa.table({"block": blocks, "bucket": table.column("bucket"), "totals": pa.array([_planes(t) for t in np.split(totals, ends[:-1])], pa.binary())})
-
-
-def _without_own(at: list[np.ndarray], grams: list[np.ndarray], docs: np.ndarray, totals: np.ndarray) -> list[np.ndarray]:
-    """For each order and place the count of its n-gram in all other documents; 0 where none ends."""
-    places, every = np.concatenate(at), np.concatenate(grams)
-    order = np.lexsort((docs[places], every))
-    sorted_grams, sorted_docs = every[order], docs[places][order]
-    new = np.concatenate([[True], sorted_grams[1:] != sorted_grams[:-1]])
-    pair = new | np.concatenate([[True], sorted_docs[1:] != sorted_docs[:-1]])
-    starts = np.flatnonzero(pair)
-    own = np.repeat(np.diff(np.append(starts, len(order))), np.diff(np.append(starts, len(order))))
-    rest = np.empty(len(order), np.int64)
-    rest[order] = totals[np.cumsum(new) - 1].astype(np.int64) - own
-    out, start = [], 0
-    for places in at:
-        counts = np.zeros(len(docs), np.int64)
-        counts[places] = rest[start : start + len(places)]
-        start += len(places)
-        out.append(counts)
-    return out
+    return pa.table({"block": blocks, "bucket": table.column("bucket"), "totals": pa.array([_packed(t) for t in np.split(totals, ends[:-1])], pa.binary())})
+
+
+def _without_own(at: np.ndarray, grams: np.ndarray, docs: np.ndarray, known: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """For each place the count, in all other documents, of the n-gram of one order that ends there; 0 where none does."""
+    order = np.argsort(grams, kind="stable")  # places of one n-gram stay in order, so those of a document are together
+    every, own = grams[order], docs[at[order]]
+    new = np.concatenate([[True], every[1:] != every[:-1]])
+    starts = np.flatnonzero(new)
+    sums = totals[np.searchsorted(known, every[starts])].astype(np.int64)
+    runs = np.flatnonzero(new | np.concatenate([[True], own[1:] != own[:-1]]))
+    lengths = np.diff(np.append(runs, len(order)))
+    counts = np.zeros(len(docs), np.int64)
+    counts[at[order]] = np.repeat(sums, np.diff(np.append(starts, len(order)))) - np.repeat(lengths, lengths)
+    return counts
 
 
 def _scored(lengths: list[int], blob: bytes, totals: np.ndarray, order: int, backoff: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,7 +158,8 @@ def _scored(lengths: list[int], blob: bytes, totals: np.ndarray, order: int, bac
     docs = np.repeat(np.arange(len(counts)), counts)
     within = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
     grams = _grams(hashes, counts, order)
-    seen = _without_own([a for a, _ in grams], [g for _, g in grams], docs, totals[1:])
+    known, _ = _distinct(grams, len(hashes))
+    seen = [_without_own(a, g, docs, known, totals) if len(a) else np.zeros(len(docs), np.int64) for a, g in grams]
     others = (int(totals[0]) - counts)[docs]
     most = np.minimum(within + 1, order)
     level, score = np.zeros(len(hashes), np.int64), most * math.log(backoff) - np.log(np.maximum(others, 1))
@@ -172,7 +173,7 @@ def _scored(lengths: list[int], blob: bytes, totals: np.ndarray, order: int, bac
 
 
 def stupid_backoff(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, backoff: float = 0.4, block: int = 8_000_000, entries: int = 3_000_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, backoff: float = 0.4, block: int = 5_000_000, entries: int = 2_000_000
 ) -> DataFrame:
     """Score every document with n-gram counts of all documents but itself.
 
