@@ -95,7 +95,7 @@ def write(pages: DataFrame, folder: str, least_revisit: int = 0, id_col: str = "
             for k in range(batch.num_rows):
                 if out is None:
                     place.create_dir(root, recursive=True)
-                    out = place.open_output_stream(path)
+                    out = place.open_output_stream(path, compression=None)
                 record, buffer = batch.column("id")[k].as_py(), payloads[k].as_buffer()
                 for *_, digest in chunks(record, buffer):  # noqa: B007  the digest goes before the payload
                     pass
@@ -213,7 +213,7 @@ def read(spark: SparkSession, manifest: DataFrame, data: bool = True, size: int
             for path in batch.column("path").to_pylist():
                 place, inner = _place(path)
                 rows, held = [], 0
-                with place.open_input_stream(inner) as stream:
+                with place.open_input_stream(inner, compression=None) as stream:
                     for row in read_records(stream, size):
                         if not data and not row[2]:
                             continue
