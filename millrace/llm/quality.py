@@ -98,9 +98,14 @@ class Model:
     buckets: int
     smoothing: float
     temperature: float
+    margin: float
 
     def score(self, text: str | None, within: bool) -> float:
-        """Mean log ratio of the two models over the text's n-grams, with the text itself left out of both."""
+        """Mean log ratio of the two models over the text's n-grams, with the text itself left out of both.
+
+        A log ratio counts as far as it is beyond the margin, so that the many n-grams
+        about as frequent in both don't add up to noise that hides the few that aren't.
+        """
         places, own = np.unique(features(text, self.buckets), return_counts=True)
         if not len(places):
             return -np.inf
@@ -108,7 +113,8 @@ class Model:
         target = self.target[places] - own * within
         share = max(self._targets - n * within, 0.0) / max(self._raws - n, 1.0)
         ratio = np.log(np.maximum(target, 0) + self.smoothing) - np.log(np.maximum(self.raw[places] - own, 0) * share + self.smoothing)
-        return float((ratio * own).sum() / n)
+        beyond = np.sign(ratio) * np.maximum(np.abs(ratio) - self.margin, 0)
+        return float((beyond * own).sum() / n)
 
     def __post_init__(self):
         self._targets, self._raws = float(self.target.sum()), float(self.raw.sum())
@@ -206,8 +212,9 @@ def fit(
     text_col: str = "text",
     buckets: int = 2**20,
     smoothing: float = 1.0,
-    clean_share: float = 0.985,
-    temperature: float = 0.002,
+    margin: float = 1.0,
+    clean_share: float = 0.99,
+    temperature: float = 0.0005,
     most_labels: int = 300_000,
     folds: int = 5,
 ) -> Selection:
@@ -217,8 +224,8 @@ def fit(
     most_labels labelled ids, the only sampled part. The raw model counts all rows. One
     fold of the clean labelled rows is left out of the target to calibrate: the score
     that clean_share of them reach tells k, the number of rows with that score. A row's
-    weight is exp(score / temperature), score its mean log ratio, with its own counts
-    left out of both models. Sampling k rows without replacement in proportion to the
+    weight is exp(score / temperature), score its mean log ratio beyond the margin, with
+    its own counts left out of both models. Sampling k rows without replacement in proportion to the
     weights takes the k largest of log weight plus Gumbel noise, which is a hash of the
     id; ties at the k-th stay.
 
@@ -229,7 +236,7 @@ def fit(
     ship(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     known = known_labels(labels, id_col, most_labels, folds)
-    model = Model(*_counts(texts, known, buckets), buckets, smoothing, temperature)
+    model = Model(*_counts(texts, known, buckets), buckets, smoothing, temperature, margin)
     scores = cut(_scored(texts, model, known))
     ok = F.col("score") > float("-inf")
     line = scores.where((F.col("known") == 2) & ok).agg(F.percentile("score", 1 - clean_share)).first()[0]

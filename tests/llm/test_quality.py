@@ -52,12 +52,13 @@ def brute(docs, labels, settings):
         own = np.bincount(f, minlength=size)
         mine = target - own * fit[k]
         share = mine.sum() / (raw - own).sum()
-        scores.append(float(np.mean(np.log(mine[f] + 1.0) - np.log((raw - own)[f] * share + 1.0))))
+        ratio = np.log(mine[f] + 1.0) - np.log((raw - own)[f] * share + 1.0)
+        scores.append(float(np.mean(np.sign(ratio) * np.maximum(np.abs(ratio) - 1.0, 0))))
     held = [s for k, s in enumerate(scores) if good.get(docs[k][0]) is True and fold(k) and s > -np.inf]
-    line = np.quantile(held, 1 - 0.985)
+    line = np.quantile(held, 1 - 0.99)
     n = sum(s >= line for s in scores)
     noise = [-np.log(-np.log((quality.xxhash.xxh3_64_intdigest(key[k].to_bytes(8, "little"), seed=1) + 0.5) / 2**64)) for k in range(len(docs))]
-    ranked = sorted(range(len(docs)), key=lambda k: -(scores[k] / 0.002 + noise[k]))
+    ranked = sorted(range(len(docs)), key=lambda k: -(scores[k] / 0.0005 + noise[k]))
     return {docs[k][0] for k in ranked[:n]}
 
 
