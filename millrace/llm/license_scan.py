@@ -12,6 +12,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.core.durable import cut
+
 #: Licence identifiers with the notices by which files state them.
 TEMPLATES = {
     "MIT": [
@@ -132,16 +134,19 @@ def licences(files: DataFrame, path_col: str = "path", text_col: str = "text", l
     rows = files.select(F.col(path_col).alias("path"), F.col(text_col).alias("text"))
     w = weights(rows, "text", least)
     pattern = r"(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(t) for t in w.keys) + r")(?![a-z0-9])" if w.keys else "(?!)"
+    key = F.coalesce("path", F.lit("\0")).alias("path")
     named = F.element_at(F.split(F.coalesce("path", F.lit("")), "/", -1), -1).rlike(NAMED)
-    hit = rows.where(F.col("text").rlike(pattern))
-    lines = hit.select("path", F.lit(False).alias("whole"), F.posexplode(F.filter(_lines(F.col("text")), lambda x: x.rlike(pattern))).alias("unit", "line"))
-    whole = hit.where(named).select("path", F.lit(True).alias("whole"), F.lit(0).alias("unit"), F.col("text").alias("line"))
-    units = lines.unionByName(whole).withColumn("terms", _terms(F.col("line"))).select(F.coalesce("path", F.lit("\0")).alias("path"), "whole", "unit", "terms")
+    stated_lines = F.filter(_lines(F.col("text")), lambda x: x.rlike(pattern))
+    # few files and of those a few lines; what follows reads them often
+    hits = cut(rows.where(F.col("text").rlike(pattern)).select(key, F.size(_terms(F.col("text"))).alias("n_terms"), stated_lines.alias("lines"), F.when(named, F.col("text")).alias("whole_text")))
+    lines = hits.select("path", F.lit(False).alias("whole"), F.posexplode("lines").alias("unit", "line"))
+    whole = hits.where("whole_text is not null").select("path", F.lit(True).alias("whole"), F.lit(0).alias("unit"), F.col("whole_text").alias("line"))
+    units = lines.unionByName(whole).select("path", "whole", "unit", _terms(F.col("line")).alias("terms"))
     found = _notices(units, w, least)
-    own = found.groupBy("path").agg(_best().alias("own"), F.sum(F.when(~F.col("whole"), F.col("n_words"))).alias("n"))
+    own = cut(found.groupBy("path").agg(_best().alias("own"), F.sum(F.when(~F.col("whole"), F.col("n_words"))).alias("n")))
 
-    paths = rows.select(F.coalesce("path", F.lit("\0")).alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("rows"))
-    sizes = hit.select(F.coalesce("path", F.lit("\0")).alias("path"), F.size(_terms(F.col("text"))).alias("n_terms")).groupBy("path").agg(F.sum("n_terms").alias("n_terms"))
+    paths = rows.select(key).groupBy("path").agg(F.count(F.lit(1)).alias("rows"))
+    sizes = hits.groupBy("path").agg(F.sum("n_terms").alias("n_terms"))
     directory = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
     inside = F.col("path").contains("/")
     files_named = F.element_at(F.split("path", "/", -1), -1).rlike(NAMED)
