@@ -84,7 +84,16 @@ def infer(values: Iterable) -> T.DataType:
     for v in values:
         if v is not None:
             kind = merged(kind, value_type(v))
-    return kind or FLOAT
+    return _settled(kind) if kind is not None else FLOAT
+
+
+def _settled(kind: T.DataType) -> T.DataType:
+    """Elements of which no value tells the type are text."""
+    if isinstance(kind, T.NullType):
+        return STR
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_settled(kind.elementType))
+    return T.MapType(_settled(kind.keyType), _settled(kind.valueType)) if is_dict(kind) else kind
 
 
 def value_type(v) -> T.DataType:
@@ -99,16 +108,18 @@ def value_type(v) -> T.DataType:
     if isinstance(v, array.array) or type(v).__name__ == "ndarray":
         return VECTOR
     if isinstance(v, (list, tuple)):
-        inner = infer(v) if any(x is not None for x in v) else STR
+        inner = infer(v) if any(x is not None for x in v) else T.NullType()
         return VECTOR if v and all(isinstance(x, (int, float)) and not isinstance(x, bool) for x in v) else T.ArrayType(inner)
     if isinstance(v, dict):
-        return T.MapType(infer(v) if v else STR, infer(v.values()) if any(x is not None for x in v.values()) else STR)
+        return T.MapType(infer(v) if v else T.NullType(), infer(v.values()) if any(x is not None for x in v.values()) else T.NullType())
     return STR
 
 
 def merged(a: T.DataType | None, b: T.DataType) -> T.DataType:
-    if a is None or a == b:
+    if a is None or a == b or isinstance(a, T.NullType):
         return b
+    if isinstance(b, T.NullType):
+        return a
     if is_number(a) and is_number(b):
         return FLOAT
     if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):

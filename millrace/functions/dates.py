@@ -28,8 +28,13 @@ def pattern(format: str) -> str:
             out += "'%'" if letter == "%" else LETTERS[letter]
             i += 2
         else:
-            out += f"'{format[i]}'" if format[i].isalpha() else "''" if format[i] == "'" else format[i]
-            i += 1
+            run = i
+            while run < len(format) and (format[run].isalpha() or format[run] == "'"):
+                run += 1
+            if run == i:
+                out, i = out + format[i], i + 1
+            else:  # letters stand for themselves within quotes
+                out, i = out + "'" + format[i:run].replace("'", "''") + "'", run
     return out
 
 

@@ -187,7 +187,10 @@ def named(aggs) -> dict[str, Agg]:
         else:
             put(f"{a.op} of {a.columns[0]}" if a.columns else a.op, a)
 
-    for item in aggs if isinstance(aggs, (list, tuple)) else [aggs]:
+    def flat(x):
+        return [y for z in x for y in flat(z)] if isinstance(x, (list, tuple)) else [x]
+
+    for item in flat(aggs):
         if isinstance(item, dict):
             for name, a in item.items():
                 a = a if isinstance(a, Agg) else a()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,17 +43,18 @@ def _csv(spark, url, delimiter, header, comment_char, escape_char, double_quote,
     if line_terminator not in ("\n", "\r\n", "\r", None):
         options["lineSep"] = line_terminator
     raw = spark.read.options(**options)
-    some = raw.option("inferSchema", False).option("header", False).csv(url)
-    top = some.limit(skiprows + 1 + nrows_to_infer).collect()
-    first = [c for c in (top[skiprows] if len(top) > skiprows else [])]
-    width = max((i + 1 for i, c in enumerate(first) if c is not None), default=len(first))
-    names = _unique([c or "" for c in first[:width]] if header else [""] * width)
+    wanted = skiprows + 1 + nrows_to_infer
+    top = [r[0] for r in _lines(spark, url, options.get("lineSep", "\n")).limit(wanted + (nrows_to_infer if comment_char else 0)).collect()]
+    top = [x.rstrip("\r") for x in top if not (comment_char and x.startswith(comment_char))]
+    split = lambda x: next(csv.reader([x], delimiter=delimiter, quotechar=quote_char or None, doublequote=double_quote, escapechar=escape_char or None, skipinitialspace=skip_initial_space, quoting=csv.QUOTE_MINIMAL if quote_char else csv.QUOTE_NONE), [])
+    first = split(top[skiprows]) if len(top) > skiprows else []
+    width = len(first)
+    names = _unique(first if header else [""] * width)
     schema = T.StructType([*(T.StructField(f"c{i}", T.StringType()) for i in range(width)), T.StructField(_BAD, T.StringType())])
     df = raw.schema(schema).csv(url)
     skip = skiprows + (1 if header else 0)
     if skip:
-        lead = [tuple(r[:width]) for r in top[:skip]]
-        head = {"\0".join("" if c is None else c for c in r) for r in lead}
+        head = {"\0".join((split(x) + [""] * width)[:width]) for x in top[:skip]}
         df = df.where(~F.concat_ws("\0", *(F.coalesce(f"c{i}", F.lit("")) for i in range(width))).isin(*head)) if head else df
     missing = [v for v in ([na_values] if isinstance(na_values, str) else na_values or []) if isinstance(v, str)]
     for i in range(width):

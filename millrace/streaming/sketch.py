@@ -6,6 +6,7 @@ import threading
 import uuid
 from collections.abc import Sequence
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +21,10 @@ PERCENTS = 1000
 ITEMS = 1000
 
 
+def _value(c: Column, key: Column) -> Column:
+    return F.get(F.filter(F.map_entries(c), lambda e: e["key"] == key), 0)["value"]
+
+
 class Sketch:
     """Exact size, missing cells and moments; approximate number of values, quantiles and frequent items.
 
@@ -133,7 +138,7 @@ class Sketch:
         c, kind = self._column, self._column.kind
         for k in wanted:
             if k not in self._subs:
-                e = F.get(F.filter(F.map_entries(c.expr), lambda x, k=k: x["key"] == K.literal(k, kind.keyType)), 0)["value"] if K.is_dict(kind) else F.get(c.expr, F.lit(k))
+                e = _value(c.expr, K.literal(k, kind.keyType)) if K.is_dict(kind) else F.get(c.expr, F.lit(k))
                 self._subs[k] = Sketch(Col(c.rows, e, kind.valueType if K.is_dict(kind) else kind.elementType))
         return {k: self._subs[k] for k in wanted}
 
