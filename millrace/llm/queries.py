@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.core.durable import cut, ensure_checkpoint_dir
-from millrace.llm import bpe, chat_format, decontaminate, license_scan, lm_scoring, minhash, quality, secret_scan, vectors, warc
+from millrace.llm import bpe, chat_format, decontaminate, license_scan, lm_scoring, minhash, quality, secret_scan, sql, vectors, warc
 
 #: Where the vocabulary of op8 and the pipeline comes from.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -91,44 +91,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
-#: Words as millrace.llm.text has them.
-_SQL_WORDS = r"""
-    words AS (
-        SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS w
-        FROM documents
-    )"""
-
-#: The first row of ctx joins each word with its n-gram counts elsewhere.
-_SQL_LM = f"""
-WITH {_SQL_WORDS},
-places AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words),
-grams AS (
-    SELECT doc_id, i, n, array_to_string(list_slice(w, i - n + 1, i), ' ') AS g
-    FROM places, (SELECT unnest([1, 2, 3]) AS n) WHERE i >= n
-),
-own AS (SELECT doc_id, n, g, count(*) AS c FROM grams GROUP BY ALL),
-total AS (SELECT n, g, sum(c) AS c FROM own GROUP BY ALL),
-rest AS (SELECT o.doc_id, o.n, o.g, t.c - o.c AS c FROM own o JOIN total t USING (n, g)),
-counts AS (
-    SELECT s.doc_id, s.i, max(r.c) FILTER (s.n = 1) AS c1, max(r.c) FILTER (s.n = 2) AS c2, max(r.c) FILTER (s.n = 3) AS c3
-    FROM grams s JOIN rest r USING (doc_id, n, g) GROUP BY ALL
-),
-sizes AS (SELECT doc_id, len(w) AS n_words, (SELECT sum(len(w)) FROM words) - len(w) AS others FROM words),
-levels AS (
-    SELECT c.doc_id, c.i, c.c1, c.c2, c.c3, p.c1 AS p1, p.c2 AS p2, z.others, least(c.i, 3) AS most,
-           CASE WHEN c.c3 > 0 THEN 3 WHEN c.c2 > 0 THEN 2 WHEN c.c1 > 0 THEN 1 ELSE 0 END AS level
-    FROM counts c JOIN sizes z USING (doc_id) LEFT JOIN counts p ON p.doc_id = c.doc_id AND p.i = c.i - 1
-),
-scores AS (
-    SELECT doc_id, level, (most - level) * ln(0.4) + CASE level
-        WHEN 3 THEN ln(c3) - ln(p2) WHEN 2 THEN ln(c2) - ln(p1) WHEN 1 THEN ln(c1) - ln(others) ELSE -ln(greatest(others, 1)) END AS s
-    FROM levels
-)
-SELECT z.doc_id, z.n_words::BIGINT AS n_words, count(*) FILTER (level = 0)::BIGINT AS n_unseen, count(*) FILTER (level = 1)::BIGINT AS n_unigram,
-       count(*) FILTER (level = 2)::BIGINT AS n_bigram, count(*) FILTER (level = 3)::BIGINT AS n_trigram, round(coalesce(sum(s), 0), 6) AS log_score
-FROM sizes z LEFT JOIN scores USING (doc_id) GROUP BY z.doc_id, z.n_words
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op1_lm_scoring": _SQL_LM}
+    return dict(sql.ORACLES)
