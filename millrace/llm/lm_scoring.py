@@ -3,7 +3,7 @@
 Everything is a join on hashed n-grams, in packed rows. Documents are gathered into
 blocks of a few megabytes. A block sends each of its distinct n-grams with its count
 to the count table's partition of that hash; there the counts of all blocks are
-added, and each block gets back the totals of what it sent, in the order sent. A
+added, and each block gets back what other blocks have of what it sent, in the order sent. A
 block with its totals scores its documents. An n-gram that a block holds many times
 is one entry, so frequent ones make no partition larger than there are blocks.
 """
@@ -120,7 +120,7 @@ def _asked(blocks: DataFrame, order: int, bits: int) -> DataFrame:
 
 
 def _added(table: pa.Table) -> pa.Table:
-    """One partition of the count table: the totals of each block's n-grams, in the order in which it sent them."""
+    """One partition of the count table: what other blocks have of each block's n-grams, in the order in which it sent them."""
     blocks = table.column("block")
     grams = [np.cumsum(_numbers(b), dtype=np.uint64) for b in table.column("grams").to_pylist()]
     counts = np.concatenate([_numbers(b) for b in table.column("counts").to_pylist()])
@@ -132,7 +132,8 @@ def _added(table: pa.Table) -> pa.Table:
     sums = np.add.reduceat(counts[order], np.flatnonzero(new)) if len(every) else counts
     totals = np.empty_like(counts)
     totals[order] = sums[np.cumsum(new) - 1] if len(every) else counts
-    return pa.table({"block": blocks, "bucket": table.column("bucket"), "totals": pa.array([_packed(t) for t in np.split(totals, ends[:-1])], pa.binary())})
+    totals -= counts
+    return pa.table({"block": blocks, "bucket": table.column("bucket"), "others": pa.array([_packed(t) for t in np.split(totals, ends[:-1])], pa.binary())})
 
 
 def _without_own(at: np.ndarray, grams: np.ndarray, docs: np.ndarray, known: np.ndarray, totals: np.ndarray) -> np.ndarray:
@@ -149,7 +150,7 @@ def _without_own(at: np.ndarray, grams: np.ndarray, docs: np.ndarray, known: np.
     return counts
 
 
-def _scored(lengths: list[int], blob: bytes, totals: np.ndarray, order: int, backoff: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _scored(lengths: list[int], blob: bytes, elsewhere: np.ndarray, order: int, backoff: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words, log scores and words scored at each order (0: not seen elsewhere) of each document of a block."""
     hashes, counts = _words(lengths, blob)
     sums, hits = np.zeros(len(counts)), np.zeros((len(counts), order + 1), np.int64)
@@ -158,9 +159,10 @@ def _scored(lengths: list[int], blob: bytes, totals: np.ndarray, order: int, bac
     docs = np.repeat(np.arange(len(counts)), counts)
     within = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
     grams = _grams(hashes, counts, order)
-    known, _ = _distinct(grams, len(hashes))
-    seen = [_without_own(a, g, docs, known, totals) if len(a) else np.zeros(len(docs), np.int64) for a, g in grams]
+    known, here = _distinct(grams, len(hashes))
+    totals = elsewhere + here
     others = (int(totals[0]) - counts)[docs]
+    seen = [_without_own(a, g, docs, known, totals) if len(a) else np.zeros(len(docs), np.int64) for a, g in grams]
     most = np.minimum(within + 1, order)
     level, score = np.zeros(len(hashes), np.int64), most * math.log(backoff) - np.log(np.maximum(others, 1))
     for n in range(1, order + 1):
@@ -173,7 +175,7 @@ def _scored(lengths: list[int], blob: bytes, totals: np.ndarray, order: int, bac
 
 
 def stupid_backoff(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, backoff: float = 0.4, block: int = 5_000_000, entries: int = 2_000_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, backoff: float = 0.4, block: int = 6_500_000, entries: int = 2_000_000
 ) -> DataFrame:
     """Score every document with n-gram counts of all documents but itself.
 
@@ -198,16 +200,16 @@ def stupid_backoff(
     bits = max(0, math.ceil(math.log2(max(1, total * order / 6 / entries))))
     blocks = _blocks(texts, block)
     blocks = blocks.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block")
-    told = _asked(blocks, order, bits).groupBy("bucket").applyInArrow(_added, "block long, bucket int, totals binary")
+    told = _asked(blocks, order, bits).groupBy("bucket").applyInArrow(_added, "block long, bucket int, others binary")
     kind = to_arrow_type(docs.schema[id_col].dataType)
 
     def run(own: pa.Table, answers: pa.Table) -> pa.Table:
         ids, words, sums, hits = [], [], [], []
         if own.num_rows:
-            parts = sorted(zip(answers.column("bucket").to_pylist(), answers.column("totals").to_pylist()))
-            totals = np.concatenate([_numbers(t) for _, t in parts])
+            parts = sorted(zip(answers.column("bucket").to_pylist(), answers.column("others").to_pylist()))
+            elsewhere = np.concatenate([_numbers(t) for _, t in parts])
             ids = own.column("ids")[0].as_py()
-            words, sums, hits = _scored(own.column("lengths")[0].as_py(), own.column("texts")[0].as_py(), totals, order, backoff)
+            words, sums, hits = _scored(own.column("lengths")[0].as_py(), own.column("texts")[0].as_py(), elsewhere, order, backoff)
         return pa.table([pa.array(ids, kind), pa.array(words, pa.int64()), pa.array(sums, pa.float64()), pa.array(list(hits), pa.list_(pa.int64()))], ["id", "n_words", "log_score", "hits"])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("log_score", T.DoubleType()), T.StructField("hits", T.ArrayType(T.LongType()))])
