@@ -56,7 +56,8 @@ class Rows:
 def zipped(a: Rows, b: Rows) -> tuple[Rows, dict[str, Column]]:
     """Rows side by side by position, with the right side's columns under other names; lengths must agree."""
     left, right = a.numbered(), b.numbered()
-    if left.count() != right.count():
+    kin = a.dense and b.dense and a.lineage & b.lineage  # columns added to the same numbered rows
+    if not kin and left.count() != right.count():
         raise ValueError("columns have different lengths")
     names = {c: f"__z{k}_{c}" for k, c in enumerate(right.columns) if c != RID}
     names = {c: n if n not in left.columns else n + "_" for c, n in names.items()}

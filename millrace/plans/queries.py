@@ -417,7 +417,8 @@ def rolling_count(spark, sf):
 def cumulative_sum(spark, sf):
     """The mean is compared as the sum that it stands for, whose digits end."""
     t = _events(spark, sf).add_row_number("n", 1)
-    t["s"], t["m"] = t["value"].cumulative_sum(), t["value"].cumulative_mean()
+    t["s"] = t["value"].cumulative_sum()
+    t["m"] = t["value"].cumulative_mean()
     t["m"] = t["m"] * t["n"]
     return _rounded(t[["event_id", "s", "m"]], "s", "m", digits=2)
 
@@ -651,6 +652,27 @@ def save_load(spark, sf):
     return readers.load_table(spark, path).add_row_number("place").frame()
 
 
+@query("SELECT event_id, value FROM events WHERE value > 10")
+def json_cells(spark, sf):
+    t = _events(spark, sf)
+    t["value"] = t["value"].to_json().from_json(float)
+    return t[t["value"] > 10][["event_id", "value"]].frame()
+
+
+@query("SELECT vec_id, 60 AS n, list_sum(list_transform(range(0, 60), lambda i: vec_id % 50 + i))::DOUBLE AS total FROM embeddings")
+def image_vectors(spark, sf):
+    t = _t(spark, sf, "embeddings")
+    pixels = Col(t.rows, F.transform(F.sequence(F.lit(0), F.lit(59)), lambda i: (F.col("vec_id") % 50 + i).cast("double")), t["embedding"].kind)
+    back = pixels.pixel_array_to_image(5, 4, 3).image_to_vector()
+    return t.rows.df.select("vec_id", F.size(back.expr).alias("n"), F.aggregate(back.expr, F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events WHERE event_type IN (SELECT DISTINCT event_type FROM events) GROUP BY ALL")
+def group_tables(spark, sf):
+    groups = _events(spark, sf).group("event_type")
+    return Table.of(spark, [{"event_type": k, "n": g.num_rows(), "users": len(g["user_id"].unique())} for (k,), g in groups]).frame()
+
+
 # graphs ---------------------------------------------------------------------------------------------
 def _orders_graph(spark, sf) -> Graph:
     """Customers and nations: an edge from each customer to its nation, and from nation to region plus 1000."""

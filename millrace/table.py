@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from millrace.core import types as K
 from millrace.core.durable import cut
 from millrace.core.deploy import ship
-from millrace.functions import cells, dates, semantics as S, text as X
+from millrace.functions import cells, dates, images as I, jsonio as J, semantics as S, text as X
 from millrace.operators import group as G
 from millrace.operators import windows as W
 from millrace.operators.rows import RID, Rows, zipped
@@ -247,6 +247,25 @@ class Col:
     def split_datetime(self, prefix: str = "X", limit: Sequence[str] | None = None, tzone: bool = False) -> Table:
         return Table(self.rows, dates.fields(self.expr, prefix, limit, tzone))
 
+    def to_json(self) -> Col:
+        """Each cell as JSON text."""
+        return self._with(J.to_json(self.expr, self.kind), K.STR)
+
+    def from_json(self, dtype) -> Col:
+        """JSON text as cells of a type; null where it isn't one."""
+        kind = K.spark_type(dtype)
+        return self._with(J.from_json(self.expr, kind), kind)
+
+    def pixel_array_to_image(self, width: int, height: int, channels: int) -> Col:
+        return self._with(I.from_vector(self.expr, width, height, channels), I.IMAGE)
+
+    def image_to_vector(self) -> Col:
+        return self._with(I.to_vector(self.expr), K.VECTOR)
+
+    def resize(self, width: int, height: int, channels: int | None = None) -> Col:
+        ship(self.rows.df.sparkSession)
+        return self._with(I.resized(self.expr, width, height, channels), I.IMAGE)
+
     # functions in Python -----------------------------------------------------
     def apply(self, fn: Callable, dtype=None, skip_undefined: bool = True) -> Col:
         """fn of each cell; its type is that of up to 100 results unless given."""
@@ -437,7 +456,7 @@ def _aligned(first: Col, *others) -> tuple[Rows, list[tuple[Column, T.DataType]]
             rows = o.rows
             out.append((o.expr, o.kind))
         else:
-            named = Rows(o.rows.numbered().select(RID, o.expr.alias("c")), [RID], True)
+            named = Rows(o.rows.numbered().select(RID, o.expr.alias("c")), [RID], True, o.rows)
             rows, names = zipped(rows, named)
             out.append((names["c"], o.kind))
     return rows, out
@@ -461,7 +480,9 @@ class Table:
 
     @classmethod
     def of(cls, spark: SparkSession, data: dict[str, Iterable] | Sequence[dict] | None = None) -> Table:
-        """A table of Python values: columns by name, or rows as dictionaries."""
+        """A table of Python values: columns by name, rows as dictionaries, or a pandas DataFrame."""
+        if hasattr(data, "itertuples"):
+            data = {str(n): [None if v is None or str(v) in ("NaT", "<NA>") else v for v in data[n].tolist()] for n in data.columns}
         if not data:
             return cls(Rows(spark.range(0).toDF(RID), [RID], True), {})
         if not isinstance(data, dict):
@@ -813,6 +834,12 @@ class Table:
         df, order = self._plain()
         return self._settled(G.grouped(df, keys, aggs, self.kinds, order), [])
 
+    def group(self, key_columns):
+        """The groups of rows with equal keys, each a table when asked for."""
+        from millrace.operators.dataflow import Groups
+
+        return Groups(self, [key_columns] if isinstance(key_columns, str) else list(key_columns))
+
     # reshape ------------------------------------------------------------------
     def pack_columns(self, columns=None, column_prefix: str | None = None, dtype: type = list, fill_na=None, remove_prefix: bool = True, new_column_name: str | None = None) -> Table:
         """Columns, or those whose names begin with a prefix, as one list, vector or dictionary."""
