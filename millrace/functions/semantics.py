@@ -52,7 +52,7 @@ def equal(a: Column, ta: T.DataType, b: Column, tb: T.DataType) -> Column:
 
 
 def _entries(c: Column) -> Column:
-    return F.array_sort(F.map_entries(c))
+    return F.sort_array(F.map_entries(c))
 
 
 def _seconds(c: Column, kind: T.DataType) -> Column:

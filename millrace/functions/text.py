@@ -14,7 +14,7 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 def _counted(items: Column) -> Column:
     """Counts of an array's items as a dictionary: sorted, each run's length is the distance of its ends."""
-    given = F.array(F.array_sort(items))
+    given = F.array(F.sort_array(items))
 
     def count(a: Column) -> Column:
         ends = F.filter(F.sequence(F.lit(1), F.size(a)), lambda i: (i == F.size(a)) | (F.get(a, i - 1) != F.get(a, i)))

@@ -142,7 +142,7 @@ def _plain(a: Agg, kinds: dict[str, T.DataType], order: list[str]) -> Column | N
         return pick(F.struct(F.col(f"`{a.columns[1]}`").alias("v")), by)["v"]
     if a.op == "Concat" and len(a.columns) == 1:
         if order:
-            both = F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct(*(F.col(f"`{o}`").alias(f"o{k}") for k, o in enumerate(order)), c.alias("v")))))
+            both = F.sort_array(F.collect_list(F.when(c.isNotNull(), F.struct(*(F.col(f"`{o}`").alias(f"o{k}") for k, o in enumerate(order)), c.alias("v")))))
             return F.transform(both, lambda s: s["v"])
         return F.collect_list(c)
     return simple[a.op]() if a.op in simple else None
@@ -152,7 +152,7 @@ def _special(df: DataFrame, keys: list[str], a: Agg, name: str, kinds: dict[str,
     """An aggregator of two steps, as a table of keys and name. Each step is pre-aggregated before its shuffle."""
     c = F.col(f"`{a.columns[0]}`")
     cols = [F.col(f"`{k}`") for k in keys]
-    entries = lambda e: F.array_sort(F.collect_list(e))
+    entries = lambda e: F.sort_array(F.collect_list(e))
     if a.op == "FreqCount":
         counts = df.groupBy(*cols, c.alias("__key")).agg(F.count(F.lit(1)).alias("__n"))
         return counts.groupBy(*cols).agg(entries(F.struct(F.col("__key").alias("key"), F.col("__n").alias("count"))).alias(name))

@@ -95,7 +95,7 @@ def running_vectors(df: DataFrame, c: Column, name: str, how: str, block: int =
     """As running() for sums and means of vectors of one length, element by element."""
     cells = df.select(RID, F.posexplode(c).alias("__pos", "__v"))
     done = running(cells, F.col("__v"), "__r", how, block, ["__pos"])
-    back = done.groupBy(RID).agg(F.transform(F.array_sort(F.collect_list(F.struct("__pos", "__r"))), lambda s: s["__r"]).alias("__cell"))
+    back = done.groupBy(RID).agg(F.transform(F.sort_array(F.collect_list(F.struct("__pos", "__r"))), lambda s: s["__r"]).alias("__cell"))
     joined = df.join(back, RID, "left")
     # rows with null repeat the last value: the last cell before, by blocks as above
     dealt = joined.withColumn("__block", F.floor(F.col(RID) / block).cast("long"))

@@ -319,7 +319,7 @@ def groupby_count_distinct(spark, sf):
 @query("SELECT user_id, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS kinds FROM events GROUP BY ALL")
 def groupby_distinct(spark, sf):
     g = _events(spark, sf).groupby("user_id", {"kinds": agg.DISTINCT("event_type")})
-    return g.frame().withColumn("kinds", F.array_join(F.array_sort("kinds"), ","))
+    return g.frame().withColumn("kinds", F.array_join(F.sort_array("kinds"), ","))
 
 
 @query("SELECT user_id, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS counts FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY ALL")
@@ -337,7 +337,7 @@ def groupby_concat_list(spark, sf):
 @query("SELECT user_id, string_agg(event_type || '=' || first, ',' ORDER BY event_type) AS firsts FROM (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY ALL) GROUP BY ALL")
 def groupby_concat_dict(spark, sf):
     g = _events(spark, sf).groupby("user_id", {"firsts": agg.CONCAT("event_type", "event_id")})
-    return g.frame().withColumn("firsts", F.array_join(F.transform(F.array_sort(F.map_entries("firsts")), lambda e: F.concat_ws("=", e["key"], e["value"])), ","))
+    return g.frame().withColumn("firsts", F.array_join(F.transform(F.sort_array(F.map_entries("firsts")), lambda e: F.concat_ws("=", e["key"], e["value"])), ","))
 
 
 @query("SELECT l_linestatus, quantile_disc(l_extendedprice, 0.5) AS median, quantile_disc(l_extendedprice, 0.9) AS high FROM lineitem WHERE l_orderkey <= 2000 GROUP BY ALL")
@@ -450,13 +450,13 @@ def stack_dict(spark, sf):
 @query("SELECT l_orderkey, list_aggregate(list_sort(list(l_partkey)), 'string_agg', ',') AS parts FROM lineitem GROUP BY ALL")
 def unstack_list(spark, sf):
     t = _t(spark, sf, "lineitem")[["l_orderkey", "l_partkey"]].unstack("l_partkey", "parts")
-    return t.frame().withColumn("parts", F.array_join(F.array_sort("parts"), ","))
+    return t.frame().withColumn("parts", F.array_join(F.sort_array("parts"), ","))
 
 
 @query("SELECT user_id, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS d FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY ALL")
 def unstack_dict(spark, sf):
     t = _events(spark, sf).groupby(["user_id", "event_type"], {"n": agg.COUNT()}).unstack(["event_type", "n"], "d")
-    return t.frame().withColumn("d", F.array_join(F.transform(F.array_sort(F.map_entries("d")), lambda e: F.concat_ws("=", e["key"], e["value"])), ","))
+    return t.frame().withColumn("d", F.array_join(F.transform(F.sort_array(F.map_entries("d")), lambda e: F.concat_ws("=", e["key"], e["value"])), ","))
 
 
 @query("SELECT p_partkey, p_size::DOUBLE + p_retailprice AS total, 2 AS n FROM part")
@@ -471,7 +471,7 @@ def pack_dict(spark, sf):
     t["o.status"] = Col(t.rows, F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus")), t["o_orderstatus"].kind)
     t["o.priority"] = t["o_orderpriority"]
     t = t[["o_orderkey", "o.status", "o.priority"]].pack_columns(column_prefix="o.", dtype=dict, new_column_name="d")
-    return t.frame().select("o_orderkey", F.array_join(F.array_sort(F.map_keys("d")), ",").alias("keys"))
+    return t.frame().select("o_orderkey", F.array_join(F.sort_array(F.map_keys("d")), ",").alias("keys"))
 
 
 @query("PIVOT (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) ON ('e.' || event_type) USING max(n) GROUP BY user_id")
@@ -516,8 +516,8 @@ _BAG = "SELECT doc_id, string_agg(w || '=' || n, ' ' ORDER BY w) AS bag FROM ({i
 
 
 def _bag(t: Table, name: str) -> DataFrame:
-    entries = F.array_sort(F.map_entries(name))
-    return t.frame().where(F.size(name) > 0).select("doc_id", F.array_join(F.transform(entries, lambda e: F.concat_ws("=", e["key"], e["value"])), " ").alias("bag"))
+    entries = F.sort_array(F.map_entries(name))
+    return t.frame().where(F.col("text").rlike(r"\S")).select("doc_id", F.array_join(F.transform(entries, lambda e: F.concat_ws("=", e["key"], e["value"])), " ").alias("bag"))
 
 
 @query(_BAG.format(inner="SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[\\r\\x0B\\n\\f\\t ]+')) AS w FROM documents) WHERE w <> '' GROUP BY ALL"))
@@ -558,7 +558,7 @@ _DICTS = "SELECT user_id, event_type AS k, count(*) AS n FROM events GROUP BY AL
 def dict_keys_values(spark, sf):
     t = _counts(spark, sf)
     t["keys"], t["values"], t["n"] = t["d"].dict_keys(), t["d"].dict_values(), t["d"].item_length()
-    return t.frame().select("user_id", F.array_join(F.array_sort("keys"), ",").alias("keys"), F.aggregate("values", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), "n")
+    return t.frame().select("user_id", F.array_join(F.sort_array("keys"), ",").alias("keys"), F.aggregate("values", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), "n")
 
 
 @query(f"SELECT user_id, count(*) FILTER (k NOT IN ('click', 'view')) AS by_key, count(*) FILTER (n >= 10 AND n <= 30) AS by_value FROM ({_DICTS}) GROUP BY ALL")
