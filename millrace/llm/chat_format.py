@@ -18,7 +18,7 @@ MARK, WRITTEN = "<|im_", "<|_im_"
 def _turns(side: int) -> Column:
     """The turns of one side in order of turn, then role and text; null roles and texts are empty."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return F.array_sort(F.collect_list(F.when(F.col("side") == side, turn)))
+    return F.sort_array(F.collect_list(F.when(F.col("side") == side, turn)))
 
 
 def _common(a: Column, b: Column) -> Column:

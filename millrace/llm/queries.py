@@ -40,7 +40,7 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     shown = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
     return found.select(
-        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(shown(F.col("base")), 256).alias("base_sha256"), shown(F.array_sort(F.concat("base", "random"))).alias("spans")
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(shown(F.col("base")), 256).alias("base_sha256"), shown(F.sort_array(F.concat("base", "random"))).alias("spans")
     )
 
 

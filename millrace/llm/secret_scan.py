@@ -146,7 +146,7 @@ def scanned(docs: DataFrame, text_col: str = "text", rate: float = 0.05) -> Data
     cuts = _cutoffs(tested, rate).scalar()
     kept = F.filter("tested", lambda t: t["level"] < F.coalesce(F.element_at(F.col("cuts"), t["stratum"]), F.lit(_MOST + 1)))
     base = F.concat(*(_spans(F.col("text"), kind, rank, pattern, group, least) for rank, (kind, pattern, group, least) in enumerate(PATTERNS)))
-    found = rows.select("row", F.array_sort(base).alias("base"), _tested(F.col("text")).alias("tested")).withColumn("cuts", cuts)
+    found = rows.select("row", F.sort_array(base).alias("base"), _tested(F.col("text")).alias("tested")).withColumn("cuts", cuts)
     return found.select("row", "base", F.transform(kept, lambda t: t["token"]).alias("random"))
 
 
