@@ -32,3 +32,9 @@ def cut(df: DataFrame, rows: int | None = None, lot: int = 50_000) -> DataFrame:
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // lot)))
     return df.checkpoint(eager=True)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Remove a folder through Hadoop's file systems."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

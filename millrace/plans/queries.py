@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.core.durable import cut, ensure_checkpoint_dir
+from millrace.core.durable import cut, delete, ensure_checkpoint_dir
 from millrace.graph.graph import Graph
 from millrace.operators import group as agg
 from millrace.sources import readers
@@ -612,8 +612,13 @@ def apply_udf(spark, sf):
 
 
 # sources and sinks -------------------------------------------------------------------------------
-def _folder(spark: SparkSession) -> str:
-    return f"{ensure_checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
+def _through_files(spark: SparkSession, write: Callable[[str], None], read: Callable[[str], Table]) -> DataFrame:
+    """What read gives of what write has put into a shared folder, which then goes."""
+    path = f"{ensure_checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
+    write(path)
+    out = cut(read(path).frame())
+    delete(spark, path)
+    return out
 
 
 @query("SELECT range AS i, range % 3 AS m, 'x' AS c FROM range(5, 105)")
@@ -633,23 +638,20 @@ def date_range(spark, sf):
 
 @query("SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
 def csv_roundtrip(spark, sf):
-    path = _folder(spark)
-    _t(spark, sf, "customer", "c_custkey")[["c_custkey", "c_name", "c_acctbal", "c_mktsegment"]].export_csv(path)
-    return cut(readers.read_csv(spark, path, column_type_hints={"c_acctbal": float}).frame())
+    t = _t(spark, sf, "customer", "c_custkey")[["c_custkey", "c_name", "c_acctbal", "c_mktsegment"]]
+    return _through_files(spark, t.export_csv, lambda path: readers.read_csv(spark, path, column_type_hints={"c_acctbal": float}))
 
 
 @query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation")
 def json_lines(spark, sf):
-    path = _folder(spark)
-    _t(spark, sf, "nation", "n_nationkey")[["n_nationkey", "n_name"]].export_json(path, "lines")
-    return cut(readers.read_json(spark, path, "lines").frame())
+    t = _t(spark, sf, "nation", "n_nationkey")[["n_nationkey", "n_name"]]
+    return _through_files(spark, lambda path: t.export_json(path, "lines"), lambda path: readers.read_json(spark, path, "lines"))
 
 
 @query("SELECT row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS place, o_orderkey FROM orders")
 def save_load(spark, sf):
-    path = _folder(spark)
-    _t(spark, sf, "orders").sort([("o_totalprice", False), ("o_orderkey", True)])[["o_orderkey"]].save(path)
-    return readers.load_table(spark, path).add_row_number("place").frame()
+    t = _t(spark, sf, "orders").sort([("o_totalprice", False), ("o_orderkey", True)])[["o_orderkey"]]
+    return _through_files(spark, t.save, lambda path: readers.load_table(spark, path).add_row_number("place"))
 
 
 @query("SELECT event_id, value FROM events WHERE value > 10")
