@@ -21,9 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.core.deploy import ship
-from millrace.core.durable import cut
+from millrace.core.durable import cut, delete
 
 CHUNK = 1 << 16
+__all__ = ["chunks", "delete", "read", "read_records", "write", "write_record"]
 _DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -227,9 +228,3 @@ def read(spark: SparkSession, manifest: DataFrame, data: bool = True, size: int
 
     schema = "record string, chunk long, last boolean, data binary, n_bytes long, digest string, record_type string, refers_to string, url string"
     return manifest.select("path").repartition(F.col("path")).mapInArrow(run, schema)
-
-
-def delete(spark: SparkSession, folder: str) -> None:
-    """Remove a folder of archives through Hadoop's file systems."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
