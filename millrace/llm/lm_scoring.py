@@ -191,6 +191,9 @@ def stupid_backoff(
     0. Null or repeated ids pass through: each row is a document of its own. Other
     columns aren't read. An empty table gives an empty result.
 
+    A block is made of consecutive rows of a partition, so a task of docs that runs again
+    must give the same rows in the same order, as it does from files and checkpoints.
+
     block is the text of a block in bytes, entries the number of n-grams that a partition
     of the count table is to hold; the number of partitions follows the length of all texts.
     """

@@ -129,10 +129,10 @@ def known_labels(labels: DataFrame, id_col: str, most: int, folds: int) -> Label
     """At most most labelled ids, those of the least hashes; an id is clean if all its rows say so."""
     good = (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
     rows = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(good.cast("int")).alias("clean"))
-    found = rows.orderBy(F.xxhash64("id"), "id").limit(most).collect()
-    keys = np.array([identity(r.id, None) for r in found], dtype=np.uint64)
+    found = rows.orderBy(F.xxhash64("id"), "id").limit(most).toArrow()
+    keys = np.array([identity(v, None) for v in found.column("id").to_pylist()], dtype=np.uint64)
     order = np.argsort(keys)
-    return Labels(keys[order], np.array([r.clean for r in found], dtype=bool)[order], folds)
+    return Labels(keys[order], np.array(found.column("clean").to_pylist(), dtype=bool)[order], folds)
 
 
 def _counts(texts: DataFrame, labels: Labels, buckets: int) -> tuple[np.ndarray, np.ndarray]:
