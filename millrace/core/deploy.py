@@ -9,7 +9,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -32,3 +32,13 @@ def ship(spark: SparkSession) -> None:
             out.write(path, path.relative_to(package.parent).as_posix())
     sc.addPyFile(target)
     _shipped.add(sc.applicationId)
+
+
+#: Inputs below this many bytes may come as fewer partitions than there are cores.
+SMALL = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt out to all cores, as one file gives one task; larger ones as they are read."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL else df
