@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.core.deploy import ship
+from millrace.core.deploy import ship, spread
 from millrace.llm.text import text_slices
 
 #: White space as Unicode's White_Space property has it (Python's own class has four control characters more).
@@ -177,5 +177,5 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([part.column("id"), *columns], ["id", *out.names])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
-    coded = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    coded = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, schema)
     return coded.select(F.col("id").alias(id_col), "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "decoded")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from millrace.core.deploy import ship
+from millrace.core.deploy import ship, spread
 from millrace.llm.text import fold, mix, shingle_hashes, text_slices, word_hashes, words
 
 #: Bits of a fingerprint, and the most of them that may differ. Two sets with a weighted similarity of 0.8 differ in
@@ -168,7 +168,7 @@ def contaminated(
     ship(docs.sparkSession)
     id_type, item_type = docs.schema[id_col].dataType, items.schema[item_id].dataType
     schema = T.StructType([T.StructField("id", id_type), T.StructField("item", item_type)]).add("first_word", "long").add("n_words", "long").add("similarity", "double")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     out = None
     for lot in _lots(items, item_id, item_text, at_once):
         found = texts.mapInArrow(_finder(lot, to_arrow_type(item_type), width, least), schema)
@@ -179,8 +179,9 @@ def contaminated(
 def uncontaminated(
     docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 5, least: float = 0.8, at_once: int = 20_000
 ) -> DataFrame:
-    """The rows of docs, with all their columns, in which contaminated() would find no item. Nothing is shuffled."""
+    """The rows of docs, with all their columns, in which contaminated() would find no item. Nothing is shuffled but a small table."""
     ship(docs.sparkSession)
+    docs = spread(docs)
     for lot in _lots(items, item_id, item_text, at_once):
 
         def run(batches: Iterator[pa.RecordBatch], lot=lot) -> Iterator[pa.RecordBatch]:

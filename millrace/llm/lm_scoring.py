@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from millrace.core.deploy import ship
+from millrace.core.deploy import ship, spread
 from millrace.llm.text import fold, text_slices, word_hashes
 
 #: The n-gram of no words, whose count is the number of words.
@@ -201,7 +201,7 @@ def stupid_backoff(
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(1, total * order / 6 / entries))))
-    blocks = _blocks(texts, block)
+    blocks = _blocks(spread(texts), block)
     blocks = blocks.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block")
     told = _asked(blocks, order, bits).groupBy("bucket").applyInArrow(_added, "block long, bucket int, others binary")
     kind = to_arrow_type(docs.schema[id_col].dataType)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.core.deploy import ship
+from millrace.core.deploy import ship, spread
 from millrace.core.durable import cut
 from millrace.llm.components import components
 from millrace.llm.text import fold, mix, shingle_hashes, text_slices, word_hashes, words
@@ -73,7 +73,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, rows: int,
             )
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType)]).add("n_shingles", "long").add("node", "binary").add("keys", T.ArrayType(T.LongType()))
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, schema)
 
 
 def _sets(docs: DataFrame, width: int, rows: int, bands: int) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.core.deploy import ship
+from millrace.core.deploy import ship, spread
 from millrace.core.durable import cut
 from millrace.llm.text import text_slices
 
@@ -234,7 +234,7 @@ def fit(
     nothing can be fitted and every row with words is kept. Other columns aren't read.
     """
     ship(docs.sparkSession)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     known = known_labels(labels, id_col, most_labels, folds)
     model = Model(*_counts(texts, known, buckets), buckets, smoothing, temperature, margin)
     scores = cut(_scored(texts, model, known))
@@ -257,7 +257,7 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The sampled rows with all their columns.
 
-    Weights are computed again where the rows are, so that nothing of them is shuffled.
+    Weights are computed again where the rows are, so that nothing of a large table is shuffled.
     """
     chosen = fit(docs, labels, id_col, text_col, **settings)
     model, known, least = chosen.model, chosen.labels, chosen.least
@@ -270,4 +270,4 @@ def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
             bits = ordered_bits(np.array([model.noisy(s, k) for s, k in zip(scores, keys)]))
             yield part.filter(pa.array((bits >= least) & (scores > -np.inf)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)

@@ -10,6 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.core.deploy import spread
 from millrace.llm.arrays import ends, given
 
 #: Kind, pattern, group whose length counts, its least length.
@@ -141,7 +142,7 @@ def scanned(docs: DataFrame, text_col: str = "text", rate: float = 0.05) -> Data
     A span is (start, rank, end, kind, found); positions count code points, end exclusive.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.struct("*").alias("row"), text.alias("text"))
+    rows = spread(docs.select(F.struct("*").alias("row"), text.alias("text")))
     tested = rows.select(_tested(F.col("text")).alias("tested"))
     cuts = _cutoffs(tested, rate).scalar()
     kept = F.filter("tested", lambda t: t["level"] < F.coalesce(F.element_at(F.col("cuts"), t["stratum"]), F.lit(_MOST + 1)))
