@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import array
 import datetime as dt
+import sqlite3
 import uuid
 from collections.abc import Callable
 
@@ -12,8 +13,10 @@ from pyspark.sql import functions as F
 
 from millrace.core.durable import cut, delete, ensure_checkpoint_dir
 from millrace.graph.graph import Graph
+from millrace.operators import dataflow
 from millrace.operators import group as agg
 from millrace.sources import readers
+from millrace.streaming.builders import TableBuilder
 from millrace.table import Col, Table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -654,6 +657,35 @@ def save_load(spark, sf):
     return _through_files(spark, t.save, lambda path: readers.load_table(spark, path).add_row_number("place"))
 
 
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation WHERE n_nationkey < 20")
+def sql_roundtrip(spark, sf):
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE TABLE n (n_nationkey INTEGER, n_name TEXT)")
+    _t(spark, sf, "nation", "n_nationkey")[["n_nationkey", "n_name"]].to_sql(db, "n")
+    return readers.from_sql(spark, db, "SELECT * FROM n WHERE n_nationkey < ?", (20,)).frame()
+
+
+@query("SELECT p_name AS X1 FROM part")
+def text_lines(spark, sf):
+    t = _t(spark, sf, "part", "p_partkey")
+    return _through_files(spark, lambda path: t["p_name"].save(path, "text"), lambda path: readers.read_text(spark, path).to_table())
+
+
+@query("SELECT range AS i, range * range AS sq FROM range(20)")
+def builder_rows(spark, sf):
+    b = TableBuilder(spark, [int, int], ["i", "sq"], num_segments=2)
+    for i in range(20):
+        b.append((i, i * i), segment=i % 2)
+    return b.close().frame()
+
+
+@query("SELECT o_orderpriority AS p, count(*) AS n, 1 AS together FROM orders GROUP BY ALL")
+def adjacent_keys(spark, sf):
+    df = dataflow.adjacent(spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderpriority").alias("p")), "p")
+    counts = df.withColumn("at", F.spark_partition_id()).groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("at").alias("together"))
+    return counts
+
+
 @query("SELECT event_id, value FROM events WHERE value > 10")
 def json_cells(spark, sf):
     t = _events(spark, sf)
@@ -702,6 +734,19 @@ def graph_triple_gather(spark, sf):
     return g.vertices.select(F.col("__id").alias("id"), F.round("got", 4).alias("got"), F.col("n").cast("long").alias("n"))
 
 
+@query("WITH e AS (SELECT n_nationkey AS s, n_regionkey + 100 AS d FROM nation) SELECT id, count(*) AS touched FROM (SELECT s AS id FROM e UNION ALL SELECT d FROM e) GROUP BY id")
+def graph_triple_apply(spark, sf):
+    n = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("__src_id"), (F.col("n_regionkey") + 100).cast("long").alias("__dst_id"))
+
+    def touch(source, edge, target):
+        source["touched"] += 1
+        target["touched"] += 1
+        return source, edge, target
+
+    g = Graph(spark, edges=n).add_vertex_field("touched", 0).triple_apply(touch, ["touched"])
+    return g.vertices.select(F.col("__id").alias("id"), "touched")
+
+
 @query(f"""
 WITH {_EDGES}, outs AS (SELECT s, count(*) AS n FROM edges GROUP BY s),
 r1 AS (SELECT id, 0.15 + 0.85 * coalesce((SELECT sum(1.0 / n) FROM edges JOIN outs USING (s) WHERE d = id), 0) AS r FROM ids),
