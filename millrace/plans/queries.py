@@ -76,7 +76,7 @@ def project_derive(spark, sf):
     return t[["l_orderkey", "l_linenumber", "charge"]].frame()
 
 
-@query("SELECT p_type AS kind, p_partkey AS id, 7 AS seven FROM part")
+@query("SELECT p_type AS kind, p_partkey AS id, 7::BIGINT AS seven FROM part")
 def column_edit(spark, sf):
     t = _t(spark, sf, "part").remove_columns(["p_name", "p_brand", "p_size", "p_retailprice"]).rename({"p_partkey": "id", "p_type": "kind"})
     return t.swap_columns("id", "kind").add_column(7, "seven").frame()
@@ -88,7 +88,7 @@ def cast_types(spark, sf):
     return Table(t.rows, {"s": (t["o_orderkey"].astype(str).expr, None), "i": (t["o_totalprice"].astype(int).expr, None), "f": (t["o_orderkey"].astype(float).expr, None)}).frame()
 
 
-@query("SELECT columns.column_name AS name, 1 AS n FROM (SELECT unnest(['l_extendedprice', 'l_discount', 'l_quantity', 'l_tax']) AS column_name) AS columns")
+@query("SELECT columns.column_name AS name, 1::BIGINT AS n FROM (SELECT unnest(['l_extendedprice', 'l_discount', 'l_quantity', 'l_tax']) AS column_name) AS columns")
 def select_by_type(spark, sf):
     names = _t(spark, sf, "lineitem")[float].column_names()
     return Table.of(spark, {"name": names, "n": [1] * len(names)}).frame()
@@ -189,7 +189,7 @@ def topk_reverse(spark, sf):
     return _events(spark, sf).topk("value", 10, reverse=True)[["event_id", "value"]].frame()
 
 
-@query("SELECT event_id, CASE WHEN event_id IN (SELECT event_id FROM events ORDER BY value DESC, event_id LIMIT 12) THEN 1 ELSE 0 END AS top FROM events")
+@query("SELECT event_id, CASE WHEN event_id IN (SELECT event_id FROM events ORDER BY value DESC, event_id LIMIT 12) THEN 1::BIGINT ELSE 0 END AS top FROM events")
 def topk_index(spark, sf):
     t = _events(spark, sf)
     t["top"] = t["value"].topk_index(12)
@@ -232,7 +232,7 @@ def positional_zip(spark, sf):
     return later[["event_id", "zipped"]].frame()
 
 
-@query("SELECT count(*) AS n, count(*) AS together, 1 AS near FROM events")
+@query("SELECT count(*) AS n, count(*) AS together, 1::BIGINT AS near FROM events")
 def sample_split(spark, sf):
     t = _events(spark, sf)
     a, b = t.random_split(0.3, seed=5)
@@ -375,7 +375,7 @@ def groupby_vector_avg(spark, sf):
     return _vector_agg(spark, sf, agg.AVG)
 
 
-@query("SELECT round(sum(value), 4) AS s, round(avg(value), 6) AS m, min(value) AS lo, max(value) AS hi, round(var_pop(value), 4) AS v, round(stddev_samp(value), 6) AS sd, count(*) AS n, count(*) FILTER (value <> 0) AS nnz, 0 AS missing, arg_max(event_id, struct_pack(v := value, i := -event_id)) - min(event_id) AS at FROM events")
+@query("SELECT round(sum(value), 4) AS s, round(avg(value), 6) AS m, min(value) AS lo, max(value) AS hi, round(var_pop(value), 4) AS v, round(stddev_samp(value), 6) AS sd, count(*) AS n, count(*) FILTER (value <> 0) AS nnz, 0::BIGINT AS missing, arg_max(event_id, struct_pack(v := value, i := -event_id)) - min(event_id) AS at FROM events")
 def column_reductions(spark, sf):
     t = _events(spark, sf)
     c = t["value"]
@@ -462,7 +462,7 @@ def unstack_dict(spark, sf):
     return t.frame().withColumn("d", F.array_join(F.transform(F.sort_array(F.map_entries("d")), lambda e: F.concat_ws("=", e["key"], e["value"])), ","))
 
 
-@query("SELECT p_partkey, p_size::DOUBLE + p_retailprice AS total, 2 AS n FROM part")
+@query("SELECT p_partkey, p_size::DOUBLE + p_retailprice AS total, 2::BIGINT AS n FROM part")
 def pack_list(spark, sf):
     t = _t(spark, sf, "part")[["p_partkey", "p_size", "p_retailprice"]].pack_columns(["p_size", "p_retailprice"], dtype=array.array, new_column_name="v")
     return t.frame().select("p_partkey", (F.col("v")[0] + F.col("v")[1]).alias("total"), F.size("v").cast("long").alias("n"))
@@ -679,7 +679,7 @@ def builder_rows(spark, sf):
     return b.close().frame()
 
 
-@query("SELECT o_orderpriority AS p, count(*) AS n, 1 AS together FROM orders GROUP BY ALL")
+@query("SELECT o_orderpriority AS p, count(*) AS n, 1::BIGINT AS together FROM orders GROUP BY ALL")
 def adjacent_keys(spark, sf):
     df = dataflow.adjacent(spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderpriority").alias("p")), "p")
     counts = df.withColumn("at", F.spark_partition_id()).groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("at").alias("together"))
@@ -723,7 +723,7 @@ def graph_degrees(spark, sf):
     return _orders_graph(spark, sf).degrees().withColumnRenamed("__id", "id")
 
 
-@query(f"WITH {_EDGES}, one AS (SELECT 1000003 AS id UNION SELECT s FROM edges WHERE d = 1000003 UNION SELECT d FROM edges WHERE s = 1000003), two AS (SELECT id FROM one UNION SELECT s FROM edges JOIN one ON d = id UNION SELECT d FROM edges JOIN one ON s = id) SELECT s AS src, d AS dst FROM edges WHERE s IN (SELECT id FROM two) AND d IN (SELECT id FROM two)")
+@query(f"WITH {_EDGES}, one AS (SELECT 1000003 AS id UNION SELECT s FROM edges WHERE d = 1000003 UNION SELECT d FROM edges WHERE s = 1000003), two AS (SELECT id FROM one UNION SELECT s FROM edges JOIN one ON d = id UNION SELECT d FROM edges JOIN one ON s = id) SELECT s AS src, d::BIGINT AS dst FROM edges WHERE s IN (SELECT id FROM two) AND d IN (SELECT id FROM two)")
 def graph_neighborhood(spark, sf):
     return _orders_graph(spark, sf).get_neighborhood([1_000_003], radius=2).edges.select(F.col("__src_id").alias("src"), F.col("__dst_id").alias("dst"))
 
@@ -734,7 +734,7 @@ def graph_triple_gather(spark, sf):
     return g.vertices.select(F.col("__id").alias("id"), F.round("got", 4).alias("got"), F.col("n").cast("long").alias("n"))
 
 
-@query("WITH e AS (SELECT n_nationkey AS s, n_regionkey + 100 AS d FROM nation) SELECT id, count(*) AS touched FROM (SELECT s AS id FROM e UNION ALL SELECT d FROM e) GROUP BY id")
+@query("WITH e AS (SELECT n_nationkey AS s, n_regionkey + 100 AS d FROM nation) SELECT id::BIGINT AS id, count(*) AS touched FROM (SELECT s AS id FROM e UNION ALL SELECT d FROM e) GROUP BY id")
 def graph_triple_apply(spark, sf):
     n = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("__src_id"), (F.col("n_regionkey") + 100).cast("long").alias("__dst_id"))
 
@@ -757,7 +757,7 @@ def graph_pagerank(spark, sf):
 
 
 # sketches ------------------------------------------------------------------------------------------
-@query("SELECT count(*) AS n, min(value) AS lo, max(value) AS hi, round(avg(value), 6) AS m, round(stddev_pop(value), 6) AS sd, 1 AS median_near FROM events")
+@query("SELECT count(*) AS n, min(value) AS lo, max(value) AS hi, round(avg(value), 6) AS m, round(stddev_pop(value), 6) AS sd, 1::BIGINT AS median_near FROM events")
 def sketch_numeric(spark, sf):
     t = _events(spark, sf)
     s = t["value"].sketch_summary()
@@ -765,7 +765,7 @@ def sketch_numeric(spark, sf):
     return Table.of(spark, {"n": [s.size()], "lo": [s.min()], "hi": [s.max()], "m": [round(s.mean(), 6)], "sd": [round(s.std(), 6)], "median_near": [int(abs(below - 0.5) < 0.005)]}).frame()
 
 
-@query("SELECT 1 AS near FROM (SELECT count(DISTINCT l_partkey) AS n FROM lineitem)")
+@query("SELECT 1::BIGINT AS near FROM (SELECT count(DISTINCT l_partkey) AS n FROM lineitem)")
 def sketch_unique(spark, sf):
     t = _t(spark, sf, "lineitem")
     exact = len(t["l_partkey"].unique())
