@@ -35,7 +35,7 @@ def ship(spark: SparkSession) -> None:
 
 
 #: Inputs below this many bytes may come as fewer partitions than there are cores.
-SMALL = 16 << 20
+SMALL = 8 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
