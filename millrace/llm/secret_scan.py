@@ -172,10 +172,25 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate:
     return scanned(plain, "text", rate).select(F.col("row.id").alias(id_col), "base", "random")
 
 
+def _without(text: Column, spans: Column, mark: str) -> Column:
+    """The text with one mark for each run of overlapping spans; they are sorted by start."""
+    none = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+
+    def step(a: Column, s: Column) -> Column:
+        gap = F.concat(a["out"], F.substr(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(mark))
+        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] < a["at"], a["out"]).otherwise(gap).alias("out"))
+
+    return F.aggregate(spans, none, step, lambda a: F.concat(a["out"], F.substr(text, (a["at"] + 1).cast("int"))))
+
+
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", rate: float = 0.05) -> DataFrame:
-    """The same rows and columns, with every string that scan() finds in a text replaced by mark, longest first."""
+    """The same rows and columns, with every span that scan() finds in a text replaced by mark.
+
+    Overlapping spans are one. Strings of spans that occur elsewhere in the same text are replaced too, longest first.
+    """
     found = scanned(docs, text_col, rate)
-    strings = F.array_distinct(F.transform(F.concat("base", "random"), lambda s: s["found"]))
+    text, spans = F.col("row")[text_col], F.sort_array(F.concat("base", "random"))
+    strings = F.array_distinct(F.transform(spans, lambda s: s["found"]))
     ordered = F.array_sort(strings, lambda a, b: F.length(b) - F.length(a))
-    cleaned = F.aggregate(ordered, F.col("row")[text_col], lambda t, s: F.replace(t, s, F.lit(mark)))
+    cleaned = F.when(F.size(spans) == 0, text).otherwise(F.aggregate(ordered, _without(text, spans, mark), lambda t, s: F.replace(t, s, F.lit(mark))))
     return found.select(*((cleaned if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns))

@@ -49,5 +49,13 @@ def test_redaction_keeps_rows_and_columns(spark):
     assert [(r.row, r.cuts) for r in out] == [("clash", 1)] * 4
 
 
+def test_redaction_of_overlapping_spans_leaves_no_part(spark):
+    key = "k9Xb3QmZt7LwPq2Rv8Ys"
+    texts = [f"é {key}_secret=hunter22, then", f"see https://x.org/{key}/token=value77 or token=value77", f"{key}_secret=hunter22 {key}_secret", "token=abcdef token=abcdef", "token=abcdef😀"]
+    out = [r.text for r in secret_scan.redact(tables(spark, texts)).orderBy("doc_id").collect()]
+    assert out[0] == "é [secret], then" and out[2:] == ["[secret] [secret]", "[secret] [secret]", "[secret]😀"]
+    assert out[1].startswith("see https:/") and out[1].endswith("[secret] or [secret]") and key not in out[1] and "value77" not in out[1]
+
+
 def test_empty_table(spark):
     assert secret_scan.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
