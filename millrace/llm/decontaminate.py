@@ -103,7 +103,7 @@ class Matcher:
     def _anchors(self, hashes: np.ndarray) -> dict[int, np.ndarray]:
         """For each item size the starts of all windows that hold one of its items' shingles.
 
-        Other windows have nothing in common with any item, so their similarity is 0.
+        A text of fewer words than the item is one window, if its shingles are enough to come to least. Other windows have nothing in common with any item, so their similarity is 0.
         """
         hits: dict[int, list[np.ndarray]] = defaultdict(list)
         for width in [self.width, *self.short]:
@@ -115,7 +115,10 @@ class Matcher:
             at[at == len(self.known)] = 0
             for place in np.flatnonzero(self.known[at] == grams).tolist():
                 for size in self.owners[at[place]]:
-                    if min(size, self.width) == width:
+                    if size > len(hashes):
+                        if n >= self.least * (size - self.width + 1) - 1e-9:
+                            hits[size].append(np.zeros(1, dtype=int))
+                    elif min(size, self.width) == width:
                         hits[size].append(np.arange(max(0, place - size + width), min(place, len(hashes) - size) + 1))
         return {size: np.unique(np.concatenate(starts)) for size, starts in hits.items()}
 
@@ -124,11 +127,11 @@ class Matcher:
         hashes = word_hashes(words(text))
         best: dict[tuple[int, int], tuple[float, int]] = {}
         for size, starts in self._anchors(hashes).items():
-            span = max(1, size - self.width + 1)
-            kind = self.sizes[size]
+            kind, long = self.sizes[size], min(size, len(hashes))
+            span = max(1, long - self.width + 1)
             for chunk in np.array_split(starts, -(-len(starts) // 4096)) if len(starts) else []:
-                low, high = int(chunk[0]), int(chunk[-1]) + size
-                grams = shingle_hashes(hashes[low:high], min(size, self.width))
+                low, high = int(chunk[0]), int(chunk[-1]) + long
+                grams = shingle_hashes(hashes[low:high], min(long, self.width))
                 for part in _runs(chunk):
                     own = grams[part[0] - low : part[-1] - low + span]
                     sums = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(_signs(own), axis=0, dtype=np.int32)])
@@ -138,7 +141,7 @@ class Matcher:
                             score = weighted_similarity(grams[start - low : start - low + span], kind.bags[i])
                             if score >= self.least and (score, -start) > best.get((size, i), (-1.0, 0)):
                                 best[size, i] = (score, -start)
-        return sorted((self.sizes[size].ids[i], -start, size, score) for (size, i), (score, start) in best.items())
+        return sorted((self.sizes[size].ids[i], -start, min(size, len(hashes)), score) for (size, i), (score, start) in best.items())
 
 
 def _runs(starts: np.ndarray) -> list[np.ndarray]:
@@ -152,11 +155,11 @@ def contaminated(
 ) -> DataFrame:
     """Find benchmark items in documents, wherever they stand.
 
-    Every window of as many words as an item that shares a shingle of width words with
-    one gets a SimHash; the Hamming index gives all items within the radius, and those
+    Every window of as many words as an item (a document of fewer words is one window as a
+    whole) that shares a shingle of width words with one gets a SimHash; the Hamming index gives all items within the radius, and those
     whose weighted shingle similarity with the window is at least least are found.
 
-    Returns (id_col, item_id, first_word, n_words, similarity), one row for each
+    Returns (id_col, item_id, first_word, n_words, similarity), n_words being the window's, one row for each
     input row and item found in it, with the best window (the first of equals). Items
     shorter than width count as one shingle; null or empty texts and items match nothing; null or
     repeated ids pass through. Repeated items are each reported. Other columns aren't

@@ -49,6 +49,27 @@ def test_matches_are_those_of_brute_force(spark):
     assert kept.columns == left.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in docs} - {r[0] for r in want}
 
 
+def test_documents_shorter_than_an_item_are_one_window(spark):
+    rng = random.Random(4)
+    item = [f"w{i}" for i in rng.sample(range(1000), 39)]
+    items = [(1, " ".join(item)), (2, "a b c d e f a b c d e f a b c"), (3, "one two three four"), (4, "p q r s t u")]
+    docs = [(1, item[:-1]), (2, item[1:]), (3, item[3:-4]), (4, item[:31]), (5, ["W0", *item[:20]]), (6, list("abcdefabcdefab")), (7, "one two three".split()), (8, list("pqrst")), (9, item[:33] + ["x"]), (10, ["x", *item])]
+    docs = [(i, " ".join(w)) for i, w in docs]
+    hashed = {i: word_hashes(words(t)) for i, t in docs}
+    want = set()
+    for k, text in items:
+        own = word_hashes(words(text))
+        for i, h in hashed.items():
+            if len(h) < len(own):
+                score = d.weighted_similarity(shingle_hashes(h, 5), shingle_hashes(own, 5))
+                want |= {(i, k, 0, len(h), round(score, 9))} if score >= 0.8 else set()
+    left = spark.createDataFrame([(*r, "clash", 1) for r in docs], DOCS)
+    right = spark.createDataFrame([(*r, None) for r in items], ITEMS)
+    found = {(r.doc_id, r.item_id, r.first_word, r.n_words, round(r.similarity, 9)) for r in d.contaminated(left, right).collect()}
+    assert found == want | brute(docs, items) and {r[0] for r in want} >= {1, 2, 3, 6}
+    assert {r.doc_id for r in d.uncontaminated(left, right).collect()} == set(hashed) - {r[0] for r in found}
+
+
 def test_index_finds_all_within_the_radius():
     rng = np.random.default_rng(1)
     prints = rng.integers(0, 256, (200, d.BITS // 8)).astype(np.uint8)
