@@ -9,10 +9,11 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.core.durable import cut
+from millrace.llm.arrays import ends, given
 
 #: Licence identifiers with the notices by which files state them.
 TEMPLATES = {
@@ -40,6 +41,38 @@ TEMPLATES = {
     "CC0-1.0": ["Dedicated to the public domain under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0"],
     "Unlicense": ["This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"],
 }
+
+
+def _gnu(what: str, name: str, version: str) -> list[str]:
+    stated = f"This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, either version {version} of the License"
+    return [stated, f"{stated}, or (at your option) any later version."]
+
+
+#: The longer passages by which files and licence texts state a licence, with document frequencies of their own.
+PASSAGES = {
+    "MIT": [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to "
+        "use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    ],
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    ],
+    "GPL-3.0": _gnu("program", "General Public License", "3"),
+    "GPL-2.0": _gnu("program", "General Public License", "2"),
+    "LGPL-3.0": _gnu("library", "Lesser General Public License", "3"),
+    "LGPL-2.1": _gnu("library", "Lesser General Public License", "2.1"),
+    "AGPL-3.0": _gnu("program", "Affero General Public License", "3"),
+    "BSD-3-Clause": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    ],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ],
+}
 #: A term, and names of licence files.
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 NAMED = r"(?i)^(licen[cs]e|copying|unlicense|notice)([.-].*)?$"
@@ -60,22 +93,21 @@ def _lines(text: Column) -> Column:
 class Weights:
     """Inverse document frequencies of the templates' terms, and all that follows from them."""
 
-    def __init__(self, frequencies: dict[str, int], documents: int, least: float):
-        vocabulary = sorted({t for texts in TEMPLATES.values() for x in texts for t in terms(x)})
+    def __init__(self, frequencies: dict[str, int], documents: int, least: float, templates: dict[str, list[str]]):
+        vocabulary = _vocabulary(templates)
         self.idf = {t: math.log((1 + documents) / (1 + frequencies.get(t, 0))) + 1 for t in vocabulary}
         self.unseen = math.log(1 + documents) + 1
-        self.templates = [(f"{name}#{k}", name, self._unit(Counter(terms(x)))) for name, texts in TEMPLATES.items() for k, x in enumerate(texts)]
+        self.templates = [(f"{name}#{k}", name, self._unit(Counter(terms(x)))) for name, texts in templates.items() for k, x in enumerate(texts)]
         self.keys = sorted({t for _, _, unit in self.templates for t in self._needed(unit, least)})
 
     def _unit(self, counts: Counter) -> dict[str, float]:
         length = math.sqrt(sum((n * self.idf[t]) ** 2 for t, n in counts.items()))
         return {t: n * self.idf[t] / length for t, n in counts.items()}
 
-    @staticmethod
-    def _needed(unit: dict[str, float], least: float) -> list[str]:
+    def _needed(self, unit: dict[str, float], least: float) -> list[str]:
         """Terms of which a text must have one to come to least: by the others alone its cosine is at most their length."""
         squares = 0.0
-        order = sorted(unit, key=lambda t: (unit[t], t))
+        order = sorted(unit, key=lambda t: (self.idf[t], unit[t], t))
         for k, t in enumerate(order):
             squares += unit[t] ** 2
             if math.sqrt(squares) >= least - 1e-9:
@@ -83,27 +115,60 @@ class Weights:
         return []
 
 
-def weights(files: DataFrame, text_col: str, least: float) -> Weights:
-    """Document frequencies over all files, of the few hundred terms of the templates only."""
-    vocabulary = F.array(*(F.lit(t) for t in sorted({t for texts in TEMPLATES.values() for x in texts for t in terms(x)})))
+def _vocabulary(*templates: dict[str, list[str]]) -> list[str]:
+    return sorted({t for kind in templates for texts in kind.values() for x in texts for t in terms(x)})
+
+
+def weights(files: DataFrame, text_col: str, least: float) -> tuple[Weights, Weights]:
+    """Of TEMPLATES and of PASSAGES, by document frequencies over all files of their few hundred terms only."""
+    vocabulary = F.array(*(F.lit(t) for t in _vocabulary(TEMPLATES, PASSAGES)))
     seen = files.select(F.explode(F.array_intersect(vocabulary, _terms(F.coalesce(text_col, F.lit(""))))).alias("term"))
     counts = {r.term: r.n for r in seen.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return Weights(counts, files.count(), least)
+    n = files.count()
+    return Weights(counts, n, least, TEMPLATES), Weights(counts, n, least, PASSAGES)
+
+
+#: Most terms of a window of lines: half as many again as the longest template has.
+WINDOW = max(len(terms(x)) for kind in (TEMPLATES, PASSAGES) for texts in kind.values() for x in texts) * 3 // 2
+
+
+def _windows(text: Column, pattern: str) -> Column:
+    """All runs (first, last, terms) of two or more lines with at most WINDOW terms, one of them in a line of the pattern.
+
+    Lines without a term, as empty ones or those of comment marks, don't count; first and last are line numbers.
+    """
+    lines = F.filter(F.transform(_lines(text), lambda x, i: F.struct(i.alias("i"), _terms(x).alias("terms"), x.rlike(pattern).cast("long").alias("key"))), lambda x: F.size(x["terms"]) > 0)
+    before = lambda sums, k: F.when(k > 0, F.get(sums, k - 1)).otherwise(0)
+
+    def sums(own: Column) -> Column:
+        return F.struct(own.alias("own"), ends(F.transform(own, lambda x: F.size(x["terms"]).cast("long"))).alias("n"), ends(F.transform(own, lambda x: x["key"])).alias("keys"))
+
+    def window(c: Column, k: Column, j: Column) -> Column:
+        return F.struct(F.get(c["own"], k)["i"].alias("first"), F.get(c["own"], j)["i"].alias("last"), F.flatten(F.transform(F.slice(c["own"], k + 1, j - k + 1), lambda x: x["terms"])).alias("terms"))
+
+    def of(c: Column) -> Column:
+        size = F.size(c["own"])
+        held = lambda k, j: (F.get(c["n"], j) - before(c["n"], k) <= WINDOW) & (F.get(c["keys"], j) > before(c["keys"], k))
+        ends_of = lambda k: F.filter(F.sequence(k + 1, F.least(k + WINDOW, size - 1)), lambda j: held(k, j))
+        return F.flatten(F.transform(F.sequence(F.lit(0), size - 2), lambda k: F.transform(ends_of(k), lambda j: window(c, k, j))))
+
+    none = F.expr("array()").cast("array<struct<first:int,last:int,terms:array<string>>>")
+    return given(lines, lambda own: F.when(F.size(own) > 1, given(sums(own), of)).otherwise(none))
 
 
 def _notices(units: DataFrame, w: Weights, least: float) -> DataFrame:
-    """(path, whole, n_words, licence, score) of each unit (path, whole, unit, terms) that comes to least with a template."""
+    """(path, unit, licence, score) of each unit (path, unit, terms) that comes to least with a template."""
     spark = units.sparkSession
     table = spark.createDataFrame([(key, name, t, x) for key, name, unit in w.templates for t, x in unit.items()], "template string, licence string, term string, x double")
     idf = spark.createDataFrame(list(w.idf.items()), "term string, idf double")
-    counted = units.select("path", "whole", "unit", F.size("terms").alias("n_words"), F.explode("terms").alias("term")).groupBy("path", "whole", "unit", "n_words", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counted = units.select("path", "unit", F.explode("terms").alias("term")).groupBy("path", "unit", "term").agg(F.count(F.lit(1)).alias("tf"))
     # both tables have one row for each term of a template and so a fixed size
     weighed = counted.join(F.broadcast(idf), "term", "left").withColumn("y", F.col("tf") * F.coalesce("idf", F.lit(w.unseen)))
-    lengths = weighed.groupBy("path", "whole", "unit", "n_words").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("length"))
-    dots = weighed.join(F.broadcast(table), "term").groupBy("path", "whole", "unit", "template", "licence").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    scored = dots.join(lengths, ["path", "whole", "unit"]).withColumn("score", F.round(F.col("dot") / F.col("length"), 9))
+    lengths = weighed.groupBy("path", "unit").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("length"))
+    dots = weighed.join(F.broadcast(table), "term").groupBy("path", "unit", "template", "licence").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    scored = dots.join(lengths, ["path", "unit"]).withColumn("score", F.round(F.col("dot") / F.col("length"), 9))
     best = F.max_by(F.struct("licence", "score"), F.struct("score", F.col("licence") == "", F.col("template")))
-    return scored.where(F.col("score") >= least).groupBy("path", "whole", "unit", "n_words").agg(best.alias("best")).select("path", "whole", "n_words", "best.licence", "best.score")
+    return scored.where(F.col("score") >= least).groupBy("path", "unit").agg(best.alias("best")).select("path", "unit", "best.licence", "best.score")
 
 
 def _best(score: str = "score", licence: str = "licence") -> Column:
@@ -114,12 +179,14 @@ def _best(score: str = "score", licence: str = "licence") -> Column:
 def licences(files: DataFrame, path_col: str = "path", text_col: str = "text", least: float = 0.75, share: float = 0.5) -> DataFrame:
     """Find each file's licence: its own header, or that of the nearest directory above with a licence file.
 
-    Returns one row for each distinct path: path_col, licence, score, how and origin. Every line of a file, and the whole text of a
+    Returns one row for each distinct path: path_col, licence, score, how and origin. Every line of a file, every run of
+    lines with at most WINDOW terms (a notice may be wrapped) and the whole text of a
     file named LICENSE, COPYING, NOTICE or UNLICENSE, is compared with each template by
-    the cosine of TF-IDF vectors. Inverse document frequencies are of the files; a term
-    of no template weighs as one that no file has. A file with a line or text of score least or more has the
+    the cosine of TF-IDF vectors: those of TEMPLATES, and apart from them those of
+    PASSAGES, which full licence texts and longer headers hold. Inverse document frequencies are of the files; a term
+    of no template weighs as one that no file has. A file with a line, run or text of score least or more has the
     licence of the best one (how: header). A licence file is one so named, or one of
-    whose words share are in such lines; it gives its directory its licence, the best
+    whose words share are in such lines or, without such a line, in such runs; it gives its directory its licence, the best
     score of several winning, then the first name. A file without its own gets that of
     its nearest ancestor directory (how: inherited; origin: that directory). Others
     have nulls.
@@ -128,22 +195,30 @@ def licences(files: DataFrame, path_col: str = "path", text_col: str = "text", l
     result. Rows of one path are one file. Null and empty texts have no header. Other
     columns aren't read. An empty table gives an empty result.
 
-    Only lines with a term that some template can't do without are compared; the others
+    Only lines and runs with a term that some template can't do without are compared; the others
     can't reach least.
     """
     rows = files.select(F.col(path_col).alias("path"), F.col(text_col).alias("text"))
-    w = weights(rows, "text", least)
-    pattern = r"(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(t) for t in w.keys) + r")(?![a-z0-9])" if w.keys else "(?!)"
+    short, long = weights(rows, "text", least)
+    keys = sorted({*short.keys, *long.keys})
+    pattern = r"(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(t) for t in keys) + r")(?![a-z0-9])" if keys else "(?!)"
     key = F.coalesce("path", F.lit("\0")).alias("path")
     named = F.element_at(F.split(F.coalesce("path", F.lit("")), "/", -1), -1).rlike(NAMED)
-    stated_lines = F.filter(_lines(F.col("text")), lambda x: x.rlike(pattern))
-    # few files and of those a few lines; what follows reads them often
-    hits = cut(rows.where(F.col("text").rlike(pattern)).select(key, F.size(_terms(F.col("text"))).alias("n_terms"), stated_lines.alias("lines"), F.when(named, F.col("text")).alias("whole_text")))
-    lines = hits.select("path", F.lit(False).alias("whole"), F.posexplode("lines").alias("unit", "line"))
-    whole = hits.where("whole_text is not null").select("path", F.lit(True).alias("whole"), F.lit(0).alias("unit"), F.col("whole_text").alias("line"))
-    units = lines.unionByName(whole).select("path", "whole", "unit", _terms(F.col("line")).alias("terms"))
-    found = _notices(units, w, least)
-    own = cut(found.groupBy("path").agg(_best().alias("own"), F.sum(F.when(~F.col("whole"), F.col("n_words"))).alias("n")))
+    # few files; what follows reads them often
+    hits = cut(rows.where(F.col("text").rlike(pattern)).select(key, F.monotonically_increasing_id().alias("row"), F.size(_terms(F.col("text"))).alias("n_terms"), F.when(named, F.col("text")).alias("whole_text"), "text"))
+    unit = lambda first, last: F.struct("row", first.cast("int").alias("first"), last.cast("int").alias("last")).alias("unit")
+    lines = hits.select("path", "row", F.posexplode(_lines(F.col("text"))).alias("at", "line")).where(F.col("line").rlike(pattern)).select("path", unit(F.col("at"), F.col("at")), _terms(F.col("line")).alias("terms"))
+    runs = hits.select("path", "row", F.explode(_windows(F.col("text"), pattern)).alias("w")).select("path", unit(F.col("w.first"), F.col("w.last")), "w.terms")
+    whole = hits.where("whole_text is not null").select("path", unit(F.lit(-1), F.lit(-1)), _terms(F.col("whole_text")).alias("terms"))
+    units = lines.unionByName(runs).unionByName(whole)
+    found = cut(_notices(units, short, least).unionByName(_notices(units, long, least)))
+    # words of lines found by themselves, and of windows without such a line
+    covered = found.where("unit.first >= 0").select("path", "unit.row", F.explode(F.sequence("unit.first", "unit.last")).alias("at"), (F.col("unit.first") == F.col("unit.last")).alias("one"), F.struct("unit.first", "unit.last").alias("run"))
+    held = covered.withColumn("by_line", F.max("one").over(Window.partitionBy("path", "row", "at"))).withColumn("mixed", F.max("by_line").over(Window.partitionBy("path", "row", "run")))
+    counted = held.where(F.col("one") | ~F.col("mixed")).select("path", "row", "at").distinct()
+    line_words = hits.select("path", "row", F.posexplode(F.transform(_lines(F.col("text")), lambda x: F.size(_terms(x)))).alias("at", "n_words"))
+    n_words = counted.join(line_words, ["path", "row", "at"]).groupBy("path").agg(F.sum("n_words").alias("n"))
+    own = found.groupBy("path").agg(_best().alias("own")).join(n_words, "path", "left")
 
     paths = rows.select(key).groupBy("path").agg(F.count(F.lit(1)).alias("rows"))
     sizes = hits.groupBy("path").agg(F.sum("n_terms").alias("n_terms"))

@@ -65,5 +65,47 @@ def test_licences_are_those_of_brute_force(spark):
     assert {r[3] for r in got} == {"header", "inherited", None}
 
 
+MIT = """Copyright (c) 2019 Some Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD = """# Copyright 2020 The Authors. All rights reserved.
+# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions are met
+import os
+"""
+GPL2 = """ * This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation; either version 2 of the License, or
+ * (at your option) any later version.
+"""
+
+
+def test_wrapped_notices_and_full_texts_are_found(spark):
+    text = "some prose of no interest to anyone\n"
+    rows = [("/s/a/1", MIT), ("/s/b/2", text * 5 + MIT + text), ("/s/c/3", BSD), ("/s/d/4", text + "this is\nReleased under\n\n// the MIT\n// License.\n" + text), ("/s/e/5", "int x;\n" + GPL2), ("/s/f/LICENSE", MIT), ("/s/f/6", text), ("/s/g/7", text * 3)]
+    rows += [(f"bulk/{i}", text * 3) for i in range(60)]
+    found = {r.path: (r.licence, r.how) for r in ls.licences(spark.createDataFrame([(*r, 1, "clash") for r in rows], FIELDS)).collect()}
+    want = {"1": "MIT", "2": "MIT", "3": "BSD-3-Clause", "4": "MIT", "5": "GPL-2.0", "LICENSE": "MIT"}
+    assert {p.rsplit("/", 1)[1]: f for p, f in found.items() if f[1] == "header"} == {k: (v, "header") for k, v in want.items()}
+    assert found["/s/f/6"] == ("MIT", "inherited") and found["/s/g/7"] == (None, None) and len(found) == len(rows)
+
+
 def test_empty_table(spark):
     assert ls.licences(spark.createDataFrame([], FIELDS)).collect() == []
