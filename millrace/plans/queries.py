@@ -350,6 +350,18 @@ def groupby_quantile(spark, sf):
     return g.frame().select("l_linestatus", F.col("q")[0].alias("median"), F.col("q")[1].alias("high"))
 
 
+@query("SELECT l_linestatus, count(*) AS n, 1 AS median_near, 1 AS high_near FROM lineitem GROUP BY ALL")
+def groupby_quantile_all(spark, sf):
+    """Whole groups; of each quantile it is compared whether its rank is within 1/10000 of the one asked for."""
+    t = _t(spark, sf, "lineitem")
+    g = t.groupby("l_linestatus", {"q": agg.QUANTILE("l_extendedprice", 0.5, 0.9)})
+    x, ranks = F.col("l_extendedprice"), (("median", 0, 0.5), ("high", 1, 0.9))
+    both = t[["l_linestatus", "l_extendedprice"]].join(g, on="l_linestatus").frame()
+    shares = [f((c(F.col("q")[i])).cast("double")).alias(f"{name}_{end}") for name, i, _ in ranks for end, f, c in (("below", F.avg, lambda q: x < q), ("upto", F.avg, lambda q: x <= q))]
+    near = [((F.col(f"{name}_below") - 1e-4 <= p) & (F.col(f"{name}_upto") + 1e-4 >= p)).cast("int").alias(f"{name}_near") for name, _, p in ranks]
+    return both.groupBy("l_linestatus").agg(F.count(x).alias("n"), *shares).select("l_linestatus", "n", *near)
+
+
 @query("SELECT n_regionkey::BIGINT AS n_regionkey, 1 AS member FROM nation GROUP BY ALL")
 def groupby_select_one(spark, sf):
     n = _t(spark, sf, "nation")
