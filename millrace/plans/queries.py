@@ -260,6 +260,11 @@ def join_right(spark, sf):
     return o.join(_t(spark, sf, "customer")[["c_custkey", "c_name"]], on={"o_custkey": "c_custkey"}, how="right").frame()
 
 
+@query("SELECT coalesce(o_custkey, c_custkey) AS o_custkey, o_orderkey, c_name FROM orders RIGHT JOIN customer ON o_custkey = c_custkey")
+def join_right_all(spark, sf):
+    return _t(spark, sf, "orders")[["o_custkey", "o_orderkey"]].join(_t(spark, sf, "customer")[["c_custkey", "c_name"]], on={"o_custkey": "c_custkey"}, how="right").frame()
+
+
 @query("SELECT coalesce(a.k, b.k) AS k, a.x, b.y FROM (SELECT c_custkey AS k, c_nationkey::BIGINT AS x FROM customer WHERE c_custkey % 3 <> 0) a FULL JOIN (SELECT s_suppkey * 2 AS k, s_nationkey::BIGINT AS y FROM supplier) b ON a.k = b.k")
 def join_outer(spark, sf):
     a, b = _t(spark, sf, "customer"), _t(spark, sf, "supplier")
@@ -268,6 +273,13 @@ def join_outer(spark, sf):
     return a.join(b[["k", "s_nationkey"]].rename({"s_nationkey": "y"}), on="k", how="outer").frame()
 
 
+@query("SELECT coalesce(a.k, b.k) AS k, a.x, b.y FROM (SELECT c_custkey AS k, c_nationkey::BIGINT AS x FROM customer) a FULL JOIN (SELECT s_suppkey * 20 AS k, s_nationkey::BIGINT AS y FROM supplier) b ON a.k = b.k")
+def join_outer_all(spark, sf):
+    a, b = _t(spark, sf, "customer")[["c_custkey", "c_nationkey"]].rename({"c_custkey": "k", "c_nationkey": "x"}), _t(spark, sf, "supplier")
+    b["k"] = b["s_suppkey"] * 20
+    return a.join(b[["k", "s_nationkey"]].rename({"s_nationkey": "y"}), on="k", how="outer").frame()
+
+
 @query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
 def join_dict_keys(spark, sf):
     return _t(spark, sf, "nation").join(_t(spark, sf, "region"), on={"n_regionkey": "r_regionkey"}).frame()
@@ -284,6 +296,19 @@ def join_null_keys(spark, sf):
     return side("customer", "c_custkey", "c_nationkey", 60).join(side("supplier", "s_suppkey", "s_nationkey", 30), on="k").frame()
 
 
+@query("SELECT a.k, count(*) AS n, sum(a.x)::BIGINT AS x, sum(b.x)::BIGINT AS y FROM (SELECT CASE WHEN c_custkey % 2 = 0 THEN c_nationkey::BIGINT END AS k, c_custkey AS x FROM customer) a JOIN (SELECT CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey::BIGINT END AS k, s_suppkey AS x FROM supplier) b ON a.k IS NOT DISTINCT FROM b.k GROUP BY ALL")
+def join_null_keys_all(spark, sf):
+    """Half of each table has a null key; the joined rows are counted and added up for each key."""
+
+    def side(name, key, nation):
+        t = _t(spark, sf, name)
+        t["k"] = Col(t.rows, F.when(F.col(key) % 2 == 0, F.col(nation)), t[nation].kind)
+        return t[["k", key]].rename({key: "x"})
+
+    joined = side("customer", "c_custkey", "c_nationkey").join(side("supplier", "s_suppkey", "s_nationkey"), on="k")
+    return joined.groupby("k", {"n": agg.COUNT(), "x": agg.SUM("x"), "y": agg.SUM("x.1")}).frame()
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")
 def filter_by_in(spark, sf):
     return _t(spark, sf, "orders").filter_by(["1-URGENT", "2-HIGH"], "o_orderpriority")[["o_orderkey"]].frame()

@@ -21,3 +21,10 @@ def test_quantiles_are_of_all_rows(spark):
     rows = found(spark, "groupby_quantile_all")
     assert sum(r.n for r in rows) == one("SELECT count(*) FROM {lineitem}")[0][0]
     assert all(r.median_near == 1 and r.high_near == 1 for r in rows)
+
+
+def test_joins_are_of_all_rows(spark):
+    assert {r.o_orderkey for r in found(spark, "join_right_all")} - {None} == {k for k, in one("SELECT o_orderkey FROM {orders} JOIN {customer} ON o_custkey = c_custkey")}
+    assert sum(r.x is not None for r in found(spark, "join_outer_all")) == one("SELECT count(*) FROM {customer}")[0][0]
+    n = {r.k: r.n for r in found(spark, "join_null_keys_all")}
+    assert n[None] == one("SELECT (SELECT count(*) FROM {customer} WHERE c_custkey % 2 <> 0) * (SELECT count(*) FROM {supplier} WHERE s_suppkey % 2 <> 0)")[0][0]
