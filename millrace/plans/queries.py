@@ -481,6 +481,11 @@ def stack_list(spark, sf):
     return t.stack("embedding", "x").frame()
 
 
+@query("SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings")
+def stack_list_all(spark, sf):
+    return _t(spark, sf, "embeddings")[["vec_id", "embedding"]].stack("embedding", "x").frame()
+
+
 @query("SELECT user_id, event_type AS k, count(*) AS v FROM events GROUP BY ALL")
 def stack_dict(spark, sf):
     t = _events(spark, sf).groupby(["user_id", "event_type"], {"n": agg.COUNT()})

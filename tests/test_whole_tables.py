@@ -28,3 +28,8 @@ def test_joins_are_of_all_rows(spark):
     assert sum(r.x is not None for r in found(spark, "join_outer_all")) == one("SELECT count(*) FROM {customer}")[0][0]
     n = {r.k: r.n for r in found(spark, "join_null_keys_all")}
     assert n[None] == one("SELECT (SELECT count(*) FROM {customer} WHERE c_custkey % 2 <> 0) * (SELECT count(*) FROM {supplier} WHERE s_suppkey % 2 <> 0)")[0][0]
+
+
+def test_whole_lists_are_stacked(spark):
+    got = Counter((r.vec_id, r.x) for r in found(spark, "stack_list_all"))
+    assert got == Counter((i, x) for i, v in one("SELECT vec_id, embedding FROM {embeddings}") for x in v)
