@@ -592,6 +592,22 @@ def char_ngrams(spark, sf):
     return _bag(t, "bag")
 
 
+@query()
+def word_ngrams_documents(spark, sf):
+    """Its tests are against brute force."""
+    t = _t(spark, sf, "documents")[["doc_id", "text"]]
+    t["bag"] = t["text"].count_ngrams(2)
+    return _bag(t, "bag")
+
+
+@query()
+def char_ngrams_documents(spark, sf):
+    """Its tests are against brute force."""
+    t = _t(spark, sf, "documents")[["doc_id", "text"]]
+    t["bag"] = t["text"].count_ngrams(3, method="character")
+    return _bag(t, "bag")
+
+
 def _counts(spark, sf) -> Table:
     return _events(spark, sf).groupby(["user_id", "event_type"], {"n": agg.COUNT()}).unstack(["event_type", "n"], "d")
 

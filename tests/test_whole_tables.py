@@ -1,5 +1,6 @@
 """Queries over whole tables: every row of the inputs reaches the operator."""
 
+import re
 from collections import Counter
 
 import duckdb
@@ -7,6 +8,7 @@ import duckdb
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
+SPACE, MARKS = " \t\n\x0b\f\r", "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def one(sql):
@@ -33,3 +35,26 @@ def test_joins_are_of_all_rows(spark):
 def test_whole_lists_are_stacked(spark):
     got = Counter((r.vec_id, r.x) for r in found(spark, "stack_list_all"))
     assert got == Counter((i, x) for i, v in one("SELECT vec_id, embedding FROM {embeddings}") for x in v)
+
+
+def brute_bags(texts, n, character):
+    out = {}
+    for i, text in texts:
+        if text and text.strip(SPACE):
+            cut = "".join(" " if c in SPACE or c in MARKS else c for c in text.lower())
+            units = cut.replace(" ", "") if character else cut.split()
+            grams = Counter(units[k : k + n] if character else " ".join(units[k : k + n]) for k in range(len(units) - n + 1))
+            out[i] = dict(grams)
+    return out
+
+
+def bags(rows):
+    return {r.doc_id: {k: int(v) for k, v in re.findall(r"([^=]+)=([0-9]+)(?: |$)", r.bag)} for r in rows}
+
+
+def test_ngrams_are_of_whole_documents(spark, tmp_path):
+    texts = one("SELECT doc_id, text FROM {documents}")
+    skewed = [(10**6, None), (10**6 + 1, ""), (10**6 + 2, " \n\t"), (10**6 + 3, "so much, " * 20_000), (10**6 + 4, "😀 é!x"), (10**6 + 5, "one")]
+    spark.createDataFrame(texts + skewed, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name, n, character in (("word_ngrams_documents", 2, False), ("char_ngrams_documents", 3, True)):
+        assert bags(entry.queries()[name](spark, str(tmp_path)).collect()) == brute_bags(texts + skewed, n, character)
