@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.core.deploy import ship, spread
+from millrace.core.deploy import ship
 from millrace.core.durable import cut
 from millrace.llm.components import components
 from millrace.llm.text import fold, mix, shingle_hashes, text_slices, word_hashes, words
@@ -73,7 +73,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, rows: int,
             )
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType)]).add("n_shingles", "long").add("node", "binary").add("keys", T.ArrayType(T.LongType()))
-    return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def _sets(docs: DataFrame, width: int, rows: int, bands: int) -> DataFrame:
@@ -202,8 +202,10 @@ def near_duplicates(
 
     Rows without words or text have an empty set and link with nothing. Equal sets are
     one node from the start. Rows of one id all count; each has the id's own flags.
-    Rows with a null id get null in component_id, aren't kept, and never give a
-    component its id. Other columns aren't read; an empty table gives an empty result.
+    Rows with a null id link like any others, also with each other only through them,
+    but get null in component_id, aren't kept, and never give a component its id; a
+    component of such rows alone has no id. Other columns aren't read; an empty table
+    gives an empty result.
 
     No bucket is expanded into all its pairs. First each node is compared with one
     pivot, the least node of its buckets; that joins most copies. Buckets that still
@@ -219,8 +221,9 @@ def near_duplicates(
     members = cut(placed.join(shared, "key"))
 
     wanted = members.select("node").distinct()
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     chosen = base.where("node is not null").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen.select("id").distinct(), "id", "left_semi")
+    texts = named.join(chosen.select("id").distinct(), "id", "left_semi").unionByName(named.where("id is null"))  # a node may have rows without an id only
     sets = cut(_sets(texts, width, rows, bands).join(wanted, "node", "left_semi").dropDuplicates(["node"]))
 
     count = members.count()

@@ -59,6 +59,19 @@ def test_groups_are_those_of_brute_force(spark, seed, width, percent):
         assert sorted(map(tuple, found.collect()), key=str) == brute(rows, width, percent)
 
 
+def test_rows_without_an_id_link_others(spark):
+    base = [f"w{i}" for i in range(100)]
+    middle = base[:6] + ["x"] + base[7:]
+    far = middle[:90] + ["y"] + middle[91:]
+    texts = [" ".join(w) for w in (base, middle, far)]
+    alone = " ".join(f"v{i}" for i in range(40))
+    rows = [(1, texts[0]), (None, texts[1]), (2, texts[2]), (None, alone), (None, alone)]
+    docs = spark.createDataFrame([(*r, "clash", 1) for r in rows], FIELDS).repartition(3)
+    found = sorted(map(tuple, minhash.near_duplicates(docs, width=5, percent=86).collect()), key=str)
+    assert found == brute(rows, 5, 86)
+    assert [r[2:] for r in found if r[0] in (1, 2)] == [(1, True), (1, False)]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], FIELDS)
     found = minhash.near_duplicates(docs)
