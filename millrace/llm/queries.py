@@ -49,13 +49,14 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A response's length is that of the chunks read back, a revisit's the one it states."""
     pages = _table(spark, sf_dir, "pages")
     folder = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
-    last = warc.read(spark, warc.write(pages, folder), data=False).where("last")
+    chunks = warc.read(spark, warc.write(pages, folder))
+    read = F.when(F.col("record_type") == "response", F.sum(F.length("data"))).otherwise(F.max("n_bytes"))
+    records = chunks.groupBy("path", "place", "record", "record_type", "refers_to").agg(read.alias("payload_bytes"), F.max_by("digest", "chunk").alias("payload_digest"))
     id_type = pages.schema["page_id"].dataType
-    out = last.select(
-        F.nullif("record", F.lit("")).cast(id_type).alias("page_id"), F.col("n_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", F.col("refers_to").cast(id_type).alias("refers_to")
-    )
+    out = records.select(F.nullif("record", F.lit("")).cast(id_type).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(id_type).alias("refers_to"))
     out = cut(out)
     warc.delete(spark, folder)
     return out
