@@ -16,13 +16,13 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.core.deploy import ship
 from millrace.core.durable import cut, delete
+from millrace.llm.files import place
 
 CHUNK = 1 << 16
 __all__ = ["Writer", "chunk_rows", "delete", "read", "read_records", "write"]
@@ -34,10 +34,6 @@ def _base32(sha1) -> str:
     return base64.b32encode(sha1.digest()).decode()
 
 
-def _place(uri: str) -> tuple[pa.fs.FileSystem, str]:
-    return pa.fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pa.fs.LocalFileSystem(), uri)
-
-
 def _header(fields: list[tuple[str, str]]) -> bytes:
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n"
 
@@ -120,13 +116,13 @@ def write(pages: DataFrame, folder: str, least_revisit: int = 0, id_col: str = "
     ready = ready.sortWithinPartitions("row", "chunk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, root = _place(folder)
+        system, root = place(folder)
         path = f"{root}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
         out = writer = None
         for batch in batches:
             if out is None and batch.num_rows:
-                place.create_dir(root, recursive=True)
-                out = place.open_output_stream(path, compression=None)
+                system.create_dir(root, recursive=True)
+                out = system.open_output_stream(path, compression=None)
                 writer = Writer(out)
             columns = {c: batch.column(c) for c in ("id", "url", "chunk", "last", "data", "n", "sha1", "refers_to")}
             for k in range(batch.num_rows):
@@ -135,10 +131,10 @@ def write(pages: DataFrame, folder: str, least_revisit: int = 0, id_col: str = "
                 writer.chunk(record, n, last, memoryview(data.as_buffer()) if data.is_valid else b"", url, size, base64.b32encode(bytes.fromhex(sha1)).decode(), refers)
         if out is not None:
             out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([writer.records]), pa.array([place.get_file_info(path).size])], ["path", "records", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([writer.records]), pa.array([system.get_file_info(path).size])], ["path", "records", "bytes"])
 
     written = cut(ready.mapInArrow(run, "path string, records long, bytes long"))
-    prefix = folder[: len(folder) - len(_place(folder)[1])]
+    prefix = folder[: len(folder) - len(place(folder)[1])]
     return written.withColumn("path", F.concat(F.lit(prefix), "path"))
 
 
@@ -200,9 +196,9 @@ def read_records(stream, size: int = CHUNK) -> Iterator[tuple]:
     """
     source = _Source(_members(stream, size))
     name = lambda field: field.removeprefix("<urn:page:").removesuffix(">")
-    place = -1
+    at = -1
     while source.more():
-        place += 1
+        at += 1
         head = _fields(source.until(b"\r\n\r\n"))
         length = int(head["content-length"])
         http = source.until(b"\r\n\r\n")
@@ -210,7 +206,7 @@ def read_records(stream, size: int = CHUNK) -> Iterator[tuple]:
         record, kind, url = name(head["warc-record-id"]), head["warc-type"], head["warc-target-uri"]
         stated = head["warc-payload-digest"].removeprefix("sha1:")
         if kind == "revisit":
-            yield place, record, 0, True, b"", int(_fields(http)["content-length"]), stated, kind, name(head["warc-refers-to"]), url
+            yield at, record, 0, True, b"", int(_fields(http)["content-length"]), stated, kind, name(head["warc-refers-to"]), url
         else:
             sha1, n, total = hashlib.sha1(), 0, 0
             held = b""
@@ -220,12 +216,12 @@ def read_records(stream, size: int = CHUNK) -> Iterator[tuple]:
                     part, held = held[:size], held[size:]
                     sha1.update(part)
                     total += len(part)
-                    yield place, record, n, False, part, total, _base32(sha1), kind, None, url
+                    yield at, record, n, False, part, total, _base32(sha1), kind, None, url
                     n += 1
             sha1.update(held)
             if _base32(sha1) != stated:
                 raise ValueError(f"record {record} doesn't have the payload that its header states")
-            yield place, record, n, True, held, total + len(held), _base32(sha1), kind, None, url
+            yield at, record, n, True, held, total + len(held), _base32(sha1), kind, None, url
         for part in source.counted(4, 4):
             if part.strip(b"\r\n"):
                 raise ValueError("a record isn't followed by two empty lines")
@@ -247,9 +243,9 @@ def read(spark: SparkSession, manifest: DataFrame, size: int = CHUNK) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                where, inner = _place(path)
+                system, inner = place(path)
                 rows, held = [], 0
-                with where.open_input_stream(inner, compression=None) as stream:
+                with system.open_input_stream(inner, compression=None) as stream:
                     for row in read_records(stream, size):
                         rows.append((path, *row))
                         held += len(row[4]) + 200

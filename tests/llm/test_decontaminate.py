@@ -79,8 +79,49 @@ def test_index_finds_all_within_the_radius():
         bits = np.unpackbits(p)
         bits[rng.choice(d.BITS, k, replace=False)] ^= 1
         asked[k] = np.packbits(bits)
-    for p, found in zip(asked, index.near(asked)):
-        assert found.tolist() == [i for i, q in enumerate(prints) if np.unpackbits(p ^ q).sum() <= d.RADIUS]
+    want = [(w, i) for w, p in enumerate(asked) for i, q in enumerate(prints) if np.unpackbits(p ^ q).sum() <= d.RADIUS]
+    assert list(zip(*(x.tolist() for x in index.near(asked)))) == want and len(want) >= 30
+
+
+def test_index_is_selective():
+    rng = np.random.default_rng(3)
+    index = d.HammingIndex(rng.integers(0, 256, (5000, d.BITS // 8)).astype(np.uint8))
+    block = rng.integers(0, 1 << 16, 2000).astype(np.uint16)
+    met = [sum(int(starts[v + 1] - starts[v]) for v in (b ^ d._MASKS).astype(int)) for b, starts in zip(block, index.starts * 250)]
+    assert np.mean(met) < 0.015 * 5000  # of 5,000 items, for one block of a window
+
+
+def test_twenty_thousand_items(spark):
+    """Recall against brute force over windows at all similarities from 0.8 on, and no more than brute force finds."""
+    rng = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(16, 59)))) for i in range(20_500)]
+    docs = []
+    for n in range(900):
+        part = items[rng.randrange(len(items))][1].split()
+        for _ in range(rng.choice([0, 1, 1, 1, 2])):
+            part[rng.choice([0, 1, -1, -2, rng.randrange(len(part))])] = "changed"
+        docs.append((n, " ".join(rng.choices(vocabulary, k=30) + part + rng.choices(vocabulary, k=30))))
+    bags = {i: shingle_hashes(word_hashes(words(t)), 5) for i, t in items}
+    owners = {}
+    for i, bag in bags.items():
+        for s in bag.tolist():
+            owners.setdefault(s, set()).add(i)
+    want = set()
+    for n, text in docs:
+        own = word_hashes(words(text))
+        for i in {i for s in shingle_hashes(own, 5).tolist() for i in owners.get(s, ())}:
+            size = len(bags[i]) + 4
+            scores = [d.weighted_similarity(shingle_hashes(own[a : a + size], 5), bags[i]) for a in range(len(own) - size + 1)]
+            if max(scores) >= 0.8:
+                want.add((n, i, scores.index(max(scores))))
+    left = spark.createDataFrame([(*r, "clash", 1) for r in docs], DOCS).repartition(4)
+    right = spark.createDataFrame([(*r, "") for r in items], ITEMS)
+    for at_once in (50_000, 6_000):
+        found = {(r.doc_id, r.item_id, r.first_word) for r in d.contaminated(left, right, at_once=at_once).collect()}
+        pairs, wanted = {p[:2] for p in found}, {p[:2] for p in want}
+        print(f"recall {len(pairs & wanted) / len(wanted):.4f} of {len(wanted)}")
+        assert pairs <= wanted and len(pairs) >= 0.995 * len(wanted) and len(wanted) > 500
 
 
 def test_empty_tables(spark):
