@@ -1,11 +1,17 @@
 """Stupid-backoff scores of documents under the n-gram counts of all the others.
 
-Everything is a join on hashed n-grams, in packed rows. Documents are gathered into
-blocks of a few megabytes. A block sends each of its distinct n-grams with its count
-to the count table's partition of that hash; there the counts of all blocks are
-added, and each block gets back what other blocks have of what it sent, in the order sent. A
-block with its totals scores its documents. An n-gram that a block holds many times
-is one entry, so frequent ones make no partition larger than there are blocks.
+Relationally: documents are exploded to their n-grams, which are pre-aggregated and
+partitioned by hash; a partition's sums are its part of the count table; the exploded
+n-grams are joined to it, and the logarithms of what comes back are summed by document.
+
+The tables are columnar: a row holds, as sorted arrays, all n-grams of one hash range
+(bucket) that one block of a few megabytes of documents has, with their counts. Rows
+without n-grams aren't made, so there are never more rows than distinct n-grams of the
+blocks, however many blocks and buckets there are. The join sends back one count for
+each n-gram, in the order in which they came.
+
+An n-gram that all blocks have is one entry a block. Blocks are therefore summed in
+groups of so many (salt) first, and a bucket's sums over the groups after that.
 """
 
 from __future__ import annotations
@@ -22,8 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from millrace.core.deploy import ship, spread
-from millrace.llm.text import fold, text_slices, word_hashes
+from millrace.core.deploy import ship
+from millrace.llm.text import fold, mix, text_slices, word_hashes
 
 #: The n-gram of no words, whose count is the number of words.
 _ROOT = np.uint64(0)
@@ -101,39 +107,84 @@ def _distinct(grams: list[tuple[np.ndarray, np.ndarray]], words: int) -> tuple[n
     return np.concatenate([[_ROOT], every[starts]]), np.concatenate([[words], np.diff(np.append(starts, len(every)))]).astype(np.uint64)
 
 
-def _asked(blocks: DataFrame, order: int, bits: int) -> DataFrame:
-    """(bucket, block, grams, counts): what each block sends to each partition of the count table."""
+def _exploded(blocks: DataFrame, order: int, bits: int, salts: int) -> DataFrame:
+    """(bucket, salt, block, grams, counts): the distinct n-grams of each block with their counts, a row for each bucket that has any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, lengths, blob in zip(*(batch.column(c).to_pylist() for c in ("block", "lengths", "texts"))):
                 hashes, counts = _words(lengths, blob)
                 grams, totals = _distinct(_grams(hashes, counts, order), len(hashes))
-                edges = np.searchsorted(grams, np.arange(1, 2**bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
-                parts = list(zip(np.split(grams, edges), np.split(totals, edges)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(len(parts)), pa.int32()), pa.array([block] * len(parts)), pa.array([_packed(_steps(g)) for g, _ in parts], pa.binary()), pa.array([_packed(t) for _, t in parts], pa.binary())],
-                    ["bucket", "block", "grams", "counts"],
-                )
-
-    return blocks.mapInArrow(run, "bucket int, block long, grams binary, counts binary")
+                buckets = grams >> np.uint64(64 - bits) if bits else np.zeros(len(grams), np.uint64)
+                starts = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]]))
+                salt = int(mix(np.array([block], np.uint64))[0] % np.uint64(salts))
+                for at in range(0, len(starts), 4096):
+                    some = starts[at : at + 4096]
+                    ends = np.append(starts[at + 1 : at + 4097], len(grams))[: len(some)]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(buckets[some].astype(np.int64)),
+                            pa.array([salt] * len(some), pa.int64()),
+                            pa.array([block] * len(some), pa.int64()),
+                            pa.array([_packed(_steps(grams[s:e])) for s, e in zip(some.tolist(), ends.tolist())], pa.binary()),
+                            pa.array([_packed(totals[s:e]) for s, e in zip(some.tolist(), ends.tolist())], pa.binary()),
+                        ],
+                        ["bucket", "salt", "block", "grams", "counts"],
+                    )
+
+    return blocks.mapInArrow(run, "bucket long, salt long, block long, grams binary, counts binary")
+
+
+def _sums(grams: list[np.ndarray], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct n-grams in order, their sums, for each n-gram that came its place among them)."""
+    every = np.concatenate(grams)
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    new = np.concatenate([[True], every[1:] != every[:-1]])
+    place = np.empty(len(every), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return every[new], np.add.reduceat(counts[order], np.flatnonzero(new)), place
 
 
-def _added(table: pa.Table) -> pa.Table:
-    """One partition of the count table: what other blocks have of each block's n-grams, in the order in which it sent them."""
-    blocks = table.column("block")
+def _unpacked(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
     grams = [np.cumsum(_numbers(b), dtype=np.uint64) for b in table.column("grams").to_pylist()]
-    counts = np.concatenate([_numbers(b) for b in table.column("counts").to_pylist()])
-    ends = np.cumsum([len(g) for g in grams])
-    every = np.concatenate(grams)
-    order = np.argsort(every)
-    every = every[order]
-    new = np.concatenate([[True], every[1:] != every[:-1]]) if len(every) else np.zeros(0, bool)
-    sums = np.add.reduceat(counts[order], np.flatnonzero(new)) if len(every) else counts
-    totals = np.empty_like(counts)
-    totals[order] = sums[np.cumsum(new) - 1] if len(every) else counts
-    totals -= counts
-    return pa.table({"block": blocks, "bucket": table.column("bucket"), "others": pa.array([_packed(t) for t in np.split(totals, ends[:-1])], pa.binary())})
+    return grams, np.concatenate([_numbers(b) for b in table.column("counts").to_pylist()])
+
+
+def _joined(table: pa.Table, totals: np.ndarray | None) -> pa.Table:
+    """What other blocks have of each n-gram of one bucket and salt, in the order in which blocks sent them.
+
+    totals are the count table's entries of the distinct n-grams; without, these rows are all there are.
+    """
+    grams, counts = _unpacked(table)
+    _, sums, place = _sums(grams, counts)
+    others = (sums if totals is None else totals)[place] - counts
+    parts = np.split(others, np.cumsum([len(g) for g in grams])[:-1])
+    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "others": pa.array([_packed(p) for p in parts], pa.binary())})
+
+
+def _told(exploded: DataFrame, salts: int) -> DataFrame:
+    """(block, bucket, others): the exploded n-grams joined to the count table."""
+    told = "block long, bucket long, others binary"
+    if salts == 1:  # a bucket's rows are in one task as they are, which is all of its count table
+        return exploded.groupBy("bucket").applyInArrow(lambda table: _joined(table, None), told)
+
+    def part(table: pa.Table) -> pa.Table:
+        known, sums, _ = _sums(*_unpacked(table))
+        return pa.table([table.column("bucket")[:1], table.column("salt")[:1], pa.array([_packed(_steps(known))], pa.binary()), pa.array([_packed(sums)], pa.binary())], ["bucket", "salt", "grams", "counts"])
+
+    def whole(table: pa.Table) -> pa.Table:
+        grams, counts = _unpacked(table)
+        _, sums, place = _sums(grams, counts)
+        parts = np.split(sums[place], np.cumsum([len(g) for g in grams])[:-1])
+        return pa.table([table.column("bucket"), table.column("salt"), pa.array([_packed(p) for p in parts], pa.binary())], ["bucket", "salt", "totals"])
+
+    def join(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _joined(left, _numbers(right.column("totals")[0].as_py()))
+
+    parts = exploded.groupBy("bucket", "salt").applyInArrow(part, "bucket long, salt long, grams binary, counts binary")
+    table = parts.groupBy("bucket").applyInArrow(whole, "bucket long, salt long, totals binary")
+    return exploded.groupBy("bucket", "salt").cogroup(table.groupBy("bucket", "salt")).applyInArrow(join, told)
 
 
 def _without_own(at: np.ndarray, grams: np.ndarray, docs: np.ndarray, known: np.ndarray, totals: np.ndarray) -> np.ndarray:
@@ -175,7 +226,7 @@ def _scored(lengths: list[int], blob: bytes, elsewhere: np.ndarray, order: int,
 
 
 def stupid_backoff(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, backoff: float = 0.4, block: int = 6_500_000, entries: int = 2_000_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, backoff: float = 0.4, block: int = 6_500_000, entries: int = 2_000_000, together: int = 4096
 ) -> DataFrame:
     """Score every document with n-gram counts of all documents but itself.
 
@@ -191,19 +242,23 @@ def stupid_backoff(
     0. Null or repeated ids pass through: each row is a document of its own. Other
     columns aren't read. An empty table gives an empty result.
 
-    A block is made of consecutive rows of a partition, so a task of docs that runs again
-    must give the same rows in the same order, as it does from files and checkpoints.
+    Rows are sorted within their partition before blocks are cut, so a task that runs
+    again makes the same blocks as long as its partition has the same rows, in whatever
+    order they come.
 
-    block is the text of a block in bytes, entries the number of n-grams that a partition
-    of the count table is to hold; the number of partitions follows the length of all texts.
+    block is the text of a block in bytes, entries the number of n-grams that a bucket
+    is to hold; the number of buckets follows the length of all texts. Up to together
+    blocks are summed at once: with more, each group of about so many blocks is summed
+    before the count table is, which gives the same counts.
     """
     ship(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(1, total * order / 6 / entries))))
-    blocks = _blocks(spread(texts), block)
+    salts = max(1, math.ceil(total / block / together))
+    blocks = _blocks(texts.sortWithinPartitions("id", "text"), block)
     blocks = blocks.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block")
-    told = _asked(blocks, order, bits).groupBy("bucket").applyInArrow(_added, "block long, bucket int, others binary")
+    told = _told(_exploded(blocks, order, bits, salts), salts)
     kind = to_arrow_type(docs.schema[id_col].dataType)
 
     def run(own: pa.Table, answers: pa.Table) -> pa.Table:

@@ -34,13 +34,13 @@ def brute(rows, order, backoff=0.4):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("order,block,entries", [(3, 5_000_000, 2_000_000), (3, 200, 50), (1, 300, 10), (5, 1000, 100)])
-def test_scores_are_those_of_brute_force(spark, order, block, entries):
+@pytest.mark.parametrize("order,block,entries,together", [(3, 5_000_000, 2_000_000, 4096), (3, 200, 50, 5), (1, 300, 10, 4096), (5, 1000, 100, 1)])
+def test_scores_are_those_of_brute_force(spark, order, block, entries, together):
     rng = random.Random(order)
     vocabulary = [f"w{i}" for i in range(30)] + ["É", "é", "A", "a"]
     rows = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([0, 1, 2, 5, 40])))) for i in range(80)] + [(None, "a a b"), (3, "a a b"), (3, None), (200, " \n"), (201, "only here"), (202, "w1 w2 w3 " * 200)]
     df = spark.createDataFrame([(*r, 1, "clash") for r in rows], FIELDS).repartition(3)
-    found = lm_scoring.stupid_backoff(df, order=order, block=block, entries=entries).collect()
+    found = lm_scoring.stupid_backoff(df, order=order, block=block, entries=entries, together=together).collect()
     assert sorted(((r.doc_id, r.n_words, round(r.log_score, 6), list(r.hits)) for r in found), key=str) == brute(rows, order)
 
 
@@ -48,3 +48,24 @@ def test_lone_and_empty(spark):
     assert lm_scoring.stupid_backoff(spark.createDataFrame([], FIELDS)).collect() == []
     one = lm_scoring.stupid_backoff(spark.createDataFrame([(1, "a b", 0, "")], FIELDS)).first()
     assert one.n_words == 2 and list(one.hits) == [2, 0, 0, 0] and abs(one.log_score - 3 * math.log(0.4)) < 1e-9
+
+
+def test_rows_grow_with_n_grams_not_with_blocks_times_buckets(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choices([f"w{k}" for k in range(5000)], k=60)), 1, "") for i in range(400)]
+    texts = spark.createDataFrame(rows, FIELDS).repartition(4).selectExpr("doc_id as id", "text")
+    blocks = lm_scoring._blocks(texts.sortWithinPartitions("id", "text"), 700)
+    n, made = blocks.count(), lm_scoring._exploded(blocks, 3, 14, 1)
+    grams = sum(len(lm_scoring._numbers(r.grams)) for r in made.collect())
+    assert made.count() <= grams and made.count() < 0.05 * n * 2**14
+
+
+def test_blocks_do_not_depend_on_the_order_of_rows(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([None, *range(50)]), " ".join(rng.choices("abcdefgh", k=rng.randint(0, 30)))) for _ in range(200)]
+    made = []
+    for _ in range(2):
+        rng.shuffle(rows)
+        texts = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+        made.append([(r.block, r.ids, r.lengths, bytes(r.texts)) for r in lm_scoring._blocks(texts.sortWithinPartitions("id", "text"), 300).collect()])
+    assert made[0] == made[1] and len(made[0]) > 5
