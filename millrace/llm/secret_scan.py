@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.core.deploy import spread
+from millrace.core.durable import cut
 from millrace.llm.arrays import ends, given
 
 #: Kind, pattern, group whose length counts, its least length.
@@ -76,7 +76,7 @@ def _with_code(token: Column) -> Column:
     text = token["found"]
 
     def coded(name: str, alphabet: str) -> Column:
-        places = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.position(F.substr(text, i, F.lit(1)), F.lit(alphabet)) - 1)
+        places = F.transform(F.split(text, ""), lambda c: F.position(c, F.lit(alphabet)) - 1)  # one step a character, however long the token
         return F.struct(token.alias("token"), F.lit(name).alias("code"), F.lit(len(alphabet)).alias("k"), F.lit(alphabet).alias("alphabet"), places.alias("x"))
 
     out = F.lit(None)
@@ -132,44 +132,52 @@ def _cutoffs(tested: DataFrame, rate: float) -> DataFrame:
     lists = counts.groupBy("stratum").agg(F.collect_list(F.struct("level", "n")).alias("levels"), F.sum("n").alias("m"))
     upto = lambda v: F.aggregate("levels", F.lit(0).cast("long"), lambda a, o: a + F.when(o["level"] >= v["level"], o["n"]).otherwise(F.lit(0)))
     passed = F.filter("levels", lambda v: F.pow(F.lit(10.0), -_STEP * v["level"]) * F.col("m") <= rate * upto(v))
-    cut = F.array_min(F.transform(passed, lambda v: v["level"]))
-    return lists.select("stratum", cut.alias("cut")).where("cut is not null").agg(F.map_from_entries(F.collect_list(F.struct("stratum", "cut"))).alias("cuts"))
+    lowest = F.array_min(F.transform(passed, lambda v: v["level"]))
+    return lists.select("stratum", lowest.alias("cut")).where("cut is not null").agg(F.map_from_entries(F.collect_list(F.struct("stratum", "cut"))).alias("cuts"))
 
 
-def scanned(docs: DataFrame, text_col: str = "text", rate: float = 0.05) -> DataFrame:
-    """(row, base, random): the input row as a struct, and its spans as two arrays sorted by start.
-
-    A span is (start, rank, end, kind, found); positions count code points, end exclusive.
-    """
+def looked(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(row, text, base, tested): the input row as a struct, its text (empty for null), fixed spans by start, and tested tokens (token, stratum, level)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = spread(docs.select(F.struct("*").alias("row"), text.alias("text")))
-    tested = rows.select(_tested(F.col("text")).alias("tested"))
-    cuts = _cutoffs(tested, rate).scalar()
-    kept = F.filter("tested", lambda t: t["level"] < F.coalesce(F.element_at(F.col("cuts"), t["stratum"]), F.lit(_MOST + 1)))
+    rows = docs.select(F.struct("*").alias("row"), text.alias("text"))
     base = F.concat(*(_spans(F.col("text"), kind, rank, pattern, group, least) for rank, (kind, pattern, group, least) in enumerate(PATTERNS)))
-    found = rows.select("row", F.sort_array(base).alias("base"), _tested(F.col("text")).alias("tested")).withColumn("cuts", cuts)
-    return found.select("row", "base", F.transform(kept, lambda t: t["token"]).alias("random"))
+    return rows.select("row", "text", F.sort_array(base).alias("base"), _tested(F.col("text")).alias("tested"))
+
+
+def _random(cuts: Column) -> Column:
+    """The tokens of tested below their class's level in cuts; all where the class has none."""
+    kept = F.filter("tested", lambda t: t["level"] < F.coalesce(F.element_at(cuts, t["stratum"]), F.lit(_MOST + 1)))
+    return F.transform(kept, lambda t: t["token"])
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.05) -> DataFrame:
     """Find secrets in every whole text.
 
     Returns one row for each input row: id_col, base and random, both arrays of spans
-    (start, rank, end, kind, found) sorted by start. base has the leftmost,
-    non-overlapping matches of each kind in PATTERNS. random has the other runs of 20 or
-    more characters of [A-Za-z0-9+/_-] with letters and digits, of some encoding and at
-    least 96 bits long by it, that pass as random: under the hypothesis of uniform
-    characters, chi-squared uniformity, the runs test about the middle of the alphabet
-    and the lag-one serial correlation each give a p value. Their least, times three, is
-    the token's; in each class of encoding and length, Benjamini-Hochberg at rate tells
-    which tokens are structured, so that at most that share of those dismissed is
-    expected to be random after all. The rest are secrets.
-
-    A null text counts as empty and gives empty arrays. Null or repeated ids pass
-    through; other columns aren't read. An empty table gives an empty result.
+    (start, rank, end, kind, found) sorted by start; positions count code points, end
+    exclusive. base has the leftmost, non-overlapping matches of each kind in PATTERNS.
+    random has the other runs of 20 or more characters of [A-Za-z0-9+/_-] with letters
+    and digits, of some encoding and at least 96 bits long by it, that pass as random:
+    under the hypothesis of uniform characters, chi-squared uniformity, the runs test
+    about the middle of the alphabet and the lag-one serial correlation each give a
+    p value. Their least, times three, is the token's; in each class of encoding and
+    length, Benjamini-Hochberg at rate tells which tokens are structured.
+
+    What is controlled are false discoveries of structure: of the tokens dismissed, at
+    most a share of rate is expected to be random after all. The share of structured
+    tokens among those reported isn't controlled: a short token that the tests have no
+    power against is reported.
+
+    The texts are read once: spans and test results, without texts, go to a checkpoint
+    from which the classes' levels and then the result are taken. A null text counts as
+    empty and gives empty arrays. Null or repeated ids pass through, equal rows each
+    give a row; other columns aren't read. An empty table gives an empty result. Time
+    is linear in the length of a token and n^1.5 in the number of matches in one text.
     """
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return scanned(plain, "text", rate).select(F.col("row.id").alias(id_col), "base", "random")
+    found = cut(looked(plain).select(F.col("row.id").alias("id"), "base", "tested"))
+    with_cuts = found.withColumn("cuts", _cutoffs(found, rate).scalar())
+    return with_cuts.select(F.col("id").alias(id_col), "base", _random(F.col("cuts")).alias("random"))
 
 
 def _without(text: Column, spans: Column, mark: str) -> Column:
@@ -187,8 +195,11 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", rate
     """The same rows and columns, with every span that scan() finds in a text replaced by mark.
 
     Overlapping spans are one. Strings of spans that occur elsewhere in the same text are replaced too, longest first.
+    Null and empty texts stay as they are, equal rows stay equal, other columns aren't looked at, and an empty table stays empty.
+    Texts aren't stored in between, so tokens are tested twice: once for the levels, once where they are replaced.
     """
-    found = scanned(docs, text_col, rate)
+    found = looked(docs, text_col)
+    found = found.withColumn("cuts", _cutoffs(found, rate).scalar()).select("row", "base", _random(F.col("cuts")).alias("random"))
     text, spans = F.col("row")[text_col], F.sort_array(F.concat("base", "random"))
     strings = F.array_distinct(F.transform(spans, lambda s: s["found"]))
     ordered = F.array_sort(strings, lambda a, b: F.length(b) - F.length(a))
