@@ -63,3 +63,19 @@ def test_bound_holds():
 
 def test_empty_table(spark):
     assert vectors.near_vectors(spark.createDataFrame([], FIELDS)).collect() == []
+
+
+def test_bound_decides_most_pairs_and_bytes_go_to_tiles(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 384))
+    rows = [(i, x[i % 40].tolist() if i % 5 else x[i].tolist(), 0, "", 0) for i in range(400)]
+    nodes = vectors._quantised(vectors._prepared(spark.createDataFrame(rows, FIELDS).selectExpr("vec_id as id", "label", "embedding as vector")).where("node is not null"))
+    row = nodes.first()
+    assert len(row.q) == 384 and len(row.vector) == 8 * 384
+    table = nodes.withColumn("i", nodes.id * 0).withColumn("j", nodes.id * 0).withColumn("block", nodes.id * 0).toArrow()
+    possible = [(u, v, s) for u, v, s in vectors._bounded(table, 0.98)]
+    exact = sum(len(u) for u, _, _ in possible)
+    y = np.stack([np.frombuffer(v) for v in table.column("vector").to_pylist()])
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    links = int((np.triu(y @ y.T, 1) >= 0.98).sum())
+    assert links == exact == sum(int(s.sum()) for _, _, s in possible)
