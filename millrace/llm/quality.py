@@ -2,8 +2,8 @@
 
 Two generative models over hashed n-grams, one of target text and one of all raw
 text, give each document a log ratio for each n-gram; documents are sampled without
-replacement in proportion to the weights by taking the k largest after adding
-Gumbel noise. The n-grams are single words and runs of three word shapes (case,
+replacement in proportion to their weights by taking the k largest after adding Gumbel
+noise. The n-grams are words, pairs of words, and runs of three word shapes (case,
 digits, punctuation, repetition), which tell apart what is said and how.
 """
 
@@ -16,13 +16,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.core.deploy import ship, spread
+from millrace.core.deploy import ship
 from millrace.core.durable import cut
-from millrace.llm.text import text_slices
+from millrace.llm.text import fold, text_slices
 
 _WORD = re.compile(r"\w+|[^\w\s]+")
 _SHAPES = 16**3
@@ -50,16 +51,32 @@ class _Codes(dict):
 _codes = _Codes()
 
 
-def features(text: str | None, buckets: int) -> np.ndarray:
-    """The n-grams of a text as places in a table of buckets for words and then one for each run of shapes."""
+@dataclass(frozen=True)
+class Family:
+    """n-grams of one kind: what is added to their counts, and how far a log ratio has to be from 0 to count, beyond that only."""
+
+    smoothing: float
+    margin: float
+
+
+#: Words, pairs of words, shapes. Chosen on the held-out labels of sf0.1 alone.
+FAMILIES = (Family(0.5, 1.0), Family(2.0, 3.0), Family(1.0, 1.0))
+
+
+def features(text: str | None, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n-grams of each family as places in one table: buckets for words, buckets for pairs, one for each run of shapes."""
     found = _WORD.findall(text or "")
     codes = np.fromiter(map(_codes.__getitem__, found), np.uint64, len(found))
-    spoken = ((codes >> np.uint64(3)) % np.uint64(buckets)).astype(np.int64)
-    if len(codes) < 3:
-        return spoken
+    hashes = codes >> np.uint64(3)
+    spoken = (hashes % np.uint64(buckets)).astype(np.int64)
+    pairs = (fold([hashes[:-1], hashes[1:]]) % np.uint64(buckets)).astype(np.int64) + buckets
     shapes = (codes & np.uint64(7)).astype(np.int64) * 2
     shapes[1:] += codes[1:] == codes[:-1]
-    return np.concatenate([spoken, shapes[:-2] * 256 + shapes[1:-1] * 16 + shapes[2:] + buckets])
+    return spoken, pairs, shapes[:-2] * 256 + shapes[1:-1] * 16 + shapes[2:] + 2 * buckets
+
+
+def _size(buckets: int) -> int:
+    return 2 * buckets + _SHAPES
 
 
 def identity(value, text: str | None) -> int:
@@ -91,33 +108,35 @@ class Labels:
 
 @dataclass
 class Model:
-    """n-gram counts of the target and of all rows, and how they are smoothed."""
+    """n-gram counts of the target and of all rows, and how weights come from them."""
 
     raw: np.ndarray
     target: np.ndarray
     buckets: int
-    smoothing: float
     temperature: float
-    margin: float
 
     def score(self, text: str | None, within: bool) -> float:
-        """Mean log ratio of the two models over the text's n-grams, with the text itself left out of both.
+        """Log ratio of the two models over the text's n-grams, by length, with the text itself left out of both.
 
-        A log ratio counts as far as it is beyond the margin, so that the many n-grams
-        about as frequent in both don't add up to noise that hides the few that aren't.
+        A log ratio counts as far as it is beyond its family's margin, so that the many
+        n-grams about as frequent in both don't add up to noise that hides the few that
+        aren't. The length is the number of words and runs of shapes.
         """
-        places, own = np.unique(features(text, self.buckets), return_counts=True)
-        if not len(places):
+        found = features(text, self.buckets)
+        if not len(found[0]):
             return -np.inf
-        n = own.sum()
-        target = self.target[places] - own * within
-        share = max(self._targets - n * within, 0.0) / max(self._raws - n, 1.0)
-        ratio = np.log(np.maximum(target, 0) + self.smoothing) - np.log(np.maximum(self.raw[places] - own, 0) * share + self.smoothing)
-        beyond = np.sign(ratio) * np.maximum(np.abs(ratio) - self.margin, 0)
-        return float((beyond * own).sum() / n)
+        words, total = len(found[0]), 0.0
+        share = max(self._targets - words * within, 0.0) / max(self._raws - words, 1.0)
+        for family, each in zip(FAMILIES, found):
+            places, own = np.unique(each, return_counts=True)
+            target = np.maximum(self.target[places] - own * within, 0)
+            expected = np.maximum(self.raw[places] - own, 0) * share
+            ratio = np.log((target + family.smoothing) / (expected + family.smoothing))
+            total += float((np.sign(ratio) * np.maximum(np.abs(ratio) - family.margin, 0) * own).sum())
+        return total / (words + len(found[2]))
 
     def __post_init__(self):
-        self._targets, self._raws = float(self.target.sum()), float(self.raw.sum())
+        self._targets, self._raws = float(self.target[: self.buckets].sum()), float(self.raw[: self.buckets].sum())
 
     def noisy(self, score: float, key: int) -> float:
         """The log weight with the row's own Gumbel noise."""
@@ -140,13 +159,13 @@ def _counts(texts: DataFrame, labels: Labels, buckets: int) -> tuple[np.ndarray,
 
     Each task adds up its own rows first and sends a row for each place in use.
     """
-    size = buckets + _SHAPES
+    size = _size(buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(size, np.int64), np.zeros(size, np.int64)
         for part in text_slices(batches, "text"):
             for value, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist()):
-                places = features(text, buckets)
+                places = np.concatenate(features(text, buckets))
                 np.add.at(raw, places, 1)
                 if labels.of(identity(value, text)) == 1:
                     np.add.at(target, places, 1)
@@ -163,10 +182,11 @@ def _counts(texts: DataFrame, labels: Labels, buckets: int) -> tuple[np.ndarray,
     return raw, target
 
 
-def _scored(texts: DataFrame, model: Model, labels: Labels) -> DataFrame:
+def _scored(texts: DataFrame, fitted: Broadcast) -> DataFrame:
     """(id, score, bits, known) of each row; bits are in the order of the noisy log weight."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, labels = fitted.value
         for part in text_slices(batches, "text"):
             ids, rows = part.column("id"), part.column("text").to_pylist()
             keys = [identity(v, t) for v, t in zip(ids.to_pylist(), rows)]
@@ -197,10 +217,12 @@ def kth_largest(rows: DataFrame, column: str, k: int) -> int | None:
 
 @dataclass
 class Selection:
-    """A fitted sampler: rows whose bits reach least are kept; scores has all rows (id, score, bits, known)."""
+    """A fitted sampler: rows whose bits reach least are kept; scores has all rows (id, score, bits, known).
+
+    fitted holds the Model and the Labels; their sizes come from the settings buckets and most_labels.
+    """
 
-    model: Model
-    labels: Labels
+    fitted: Broadcast
     scores: DataFrame
     least: int
 
@@ -211,40 +233,38 @@ def fit(
     id_col: str = "doc_id",
     text_col: str = "text",
     buckets: int = 2**20,
-    smoothing: float = 1.0,
-    margin: float = 1.0,
     clean_share: float = 0.99,
-    temperature: float = 0.0005,
+    temperature: float = 0.002,
     most_labels: int = 300_000,
     folds: int = 5,
 ) -> Selection:
     """Fit the two models and find how many documents to sample, and so the least noisy weight of the sample.
 
     The target is the text of rows labelled quality 1 and not toxic: at most
-    most_labels labelled ids, the only sampled part. The raw model counts all rows. One
-    fold of the clean labelled rows is left out of the target to calibrate: the score
-    that clean_share of them reach tells k, the number of rows with that score. A row's
-    weight is exp(score / temperature), score its mean log ratio beyond the margin, with
-    its own counts left out of both models. Sampling k rows without replacement in proportion to the
-    weights takes the k largest of log weight plus Gumbel noise, which is a hash of the
-    id; ties at the k-th stay.
+    most_labels labelled ids, the only sampled part. The raw model counts all rows. A
+    row's weight is exp(score / temperature), with its own counts left out of both
+    models; sampling k rows without replacement in proportion to the weights takes the k
+    largest of log weight plus Gumbel noise, which is a hash of the id; ties at the k-th
+    stay. One fold of the clean labelled rows is left out of the target to calibrate: k
+    is the number of rows whose noisy weight is at least that of clean_share of them.
 
     Rows without text or words have weight 0 and aren't sampled. A null id takes its
     noise from the text. Repeated rows all count. Without clean labels on both sides
     nothing can be fitted and every row with words is kept. Other columns aren't read.
     """
     ship(docs.sparkSession)
-    texts = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     known = known_labels(labels, id_col, most_labels, folds)
-    model = Model(*_counts(texts, known, buckets), buckets, smoothing, temperature, margin)
-    scores = cut(_scored(texts, model, known))
+    model = Model(*_counts(texts, known, buckets), buckets, temperature)
+    fitted = docs.sparkSession.sparkContext.broadcast((model, known))
+    scores = cut(_scored(texts, fitted))
     ok = F.col("score") > float("-inf")
-    line = scores.where((F.col("known") == 2) & ok).agg(F.percentile("score", 1 - clean_share)).first()[0]
+    line = scores.where((F.col("known") == 2) & ok).agg(F.expr(f"percentile_disc({1 - clean_share!r}) WITHIN GROUP (ORDER BY bits)")).first()[0]
     if line is None or not model.target.any():
-        line = -1e300
-    k = scores.where(F.col("score") >= line).count()
+        line = -(2**63)
+    k = scores.where(ok & (F.col("bits") >= line)).count()
     least = kth_largest(scores.where(ok), "bits", k) if k else None
-    return Selection(model, known, scores, 2**63 - 1 if least is None else least)
+    return Selection(fitted, scores, 2**63 - 1 if least is None else least)
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
@@ -255,14 +275,15 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The sampled rows with all their columns.
+    """The sampled rows with all their columns; see fit() for the settings and the cases.
 
     Weights are computed again where the rows are, so that nothing of a large table is shuffled.
     """
     chosen = fit(docs, labels, id_col, text_col, **settings)
-    model, known, least = chosen.model, chosen.labels, chosen.least
+    fitted, least = chosen.fitted, chosen.least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, known = fitted.value
         for part in text_slices(batches, text_col):
             rows = part.column(text_col).to_pylist()
             keys = [identity(v, t) for v, t in zip(part.column(id_col).to_pylist(), rows)]
@@ -270,4 +291,4 @@ def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
             bits = ordered_bits(np.array([model.noisy(s, k) for s, k in zip(scores, keys)]))
             yield part.filter(pa.array((bits >= least) & (scores > -np.inf)))
 
-    return spread(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

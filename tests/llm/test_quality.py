@@ -1,6 +1,10 @@
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
+import xxhash
 
 from millrace.llm import quality
 
@@ -28,54 +32,84 @@ def frames(spark, docs, labels):
     return spark.createDataFrame([(*d, 0.5, 1) for d in docs], DOCS).repartition(4), spark.createDataFrame([(*x, "clash") for x in labels], LABELS)
 
 
-def brute(docs, labels, settings):
-    """The same models, calibration and Gumbel top-k over plain lists."""
+def shape(word):
+    if word.isalpha():
+        return "low" if word == word.lower() else "title" if word[1:] == word[1:].lower() else "UP" if word == word.upper() else "mIx"
+    return "digits" if word.isdigit() else "both" if word.isalnum() else "mark" if len(word) == 1 else "marks"
+
+
+def grams(text):
+    """Counters of words, pairs of words and runs of three shapes, as plain strings; letters count alike in words, not in shapes."""
+    raw = re.findall(r"\w+|[^\w\s]+", text or "")
+    low = [w.lower() for w in raw]
+    marked = [(shape(w), k > 0 and w.lower() == raw[k - 1].lower() and shape(w) == shape(raw[k - 1])) for k, w in enumerate(raw)]
+    return Counter(low), Counter(zip(low, low[1:])), Counter(zip(marked, marked[1:], marked[2:]))
+
+
+def key_of(i, text):
+    return xxhash.xxh3_64_intdigest((f"={text}" if i is None else str(i)).encode())
+
+
+def brute(docs, labels, temperature):
+    """Models of plain strings, calibration and Gumbel top-k over plain lists."""
     good = {}
     for i, q, t, *_ in labels:
         if i is not None and q is not None:
             good[i] = good.get(i, True) and q == 1 and not t
-    key = {k: quality.identity(*d) for k, d in enumerate(docs)}
-    fold = lambda k: quality.xxhash.xxh3_64_intdigest(key[k].to_bytes(8, "little")) % 5 == 0
-    fit = [i is not None and good.get(i) is True and not fold(k) for k, (i, _) in enumerate(docs)]
-    size = settings["buckets"] + quality._SHAPES
-    raw, target = np.zeros(size), np.zeros(size)
-    for k, (_, t) in enumerate(docs):
-        np.add.at(raw, quality.features(t, settings["buckets"]), 1)
-        if fit[k]:
-            np.add.at(target, quality.features(t, settings["buckets"]), 1)
-    scores = []
-    for k, (_, t) in enumerate(docs):
-        f = quality.features(t, settings["buckets"])
-        if not len(f):
-            scores.append(-np.inf)
+    keys = [key_of(*d) for d in docs]
+    held = [xxhash.xxh3_64_intdigest(k.to_bytes(8, "little")) % 5 == 0 for k in keys]
+    clean = [i is not None and good.get(i) is True for i, _ in docs]
+    counts = [grams(t) for _, t in docs]
+    raw, target = ([sum((c[f] for k, c in enumerate(counts) if pick(k)), Counter()) for f in range(3)] for pick in (lambda k: True, lambda k: clean[k] and not held[k]))
+    raws, targets = sum(raw[0].values()), sum(target[0].values())
+    weights = []
+    for k, c in enumerate(counts):
+        words = sum(c[0].values())
+        if not words:
+            weights.append(-math.inf)
             continue
-        own = np.bincount(f, minlength=size)
-        mine = target - own * fit[k]
-        share = mine.sum() / (raw - own).sum()
-        ratio = np.log(mine[f] + 1.0) - np.log((raw - own)[f] * share + 1.0)
-        scores.append(float(np.mean(np.sign(ratio) * np.maximum(np.abs(ratio) - 1.0, 0))))
-    held = [s for k, s in enumerate(scores) if good.get(docs[k][0]) is True and fold(k) and s > -np.inf]
-    line = np.quantile(held, 1 - 0.99)
-    n = sum(s >= line for s in scores)
-    noise = [-np.log(-np.log((quality.xxhash.xxh3_64_intdigest(key[k].to_bytes(8, "little"), seed=1) + 0.5) / 2**64)) for k in range(len(docs))]
-    ranked = sorted(range(len(docs)), key=lambda k: -(scores[k] / 0.0005 + noise[k]))
-    return {docs[k][0] for k in ranked[:n]}
+        own = clean[k] and not held[k]
+        share, total = (targets - words * own) / max(raws - words, 1), 0.0
+        for f, (smoothing, margin) in enumerate([(0.5, 1.0), (2.0, 3.0), (1.0, 1.0)]):
+            for g, n in c[f].items():
+                ratio = math.log((target[f][g] - n * own + smoothing) / ((raw[f][g] - n) * share + smoothing))
+                total += n * math.copysign(max(abs(ratio) - margin, 0), ratio)
+        u = (xxhash.xxh3_64_intdigest(keys[k].to_bytes(8, "little"), seed=1) + 0.5) / 2**64
+        weights.append(total / (words + sum(c[2].values())) / temperature - math.log(-math.log(u)))
+    calibrate = sorted(w for k, w in enumerate(weights) if clean[k] and held[k] and w > -math.inf)
+    line = calibrate[max(0, math.ceil(0.01 * len(calibrate)) - 1)]
+    return {docs[k][0] for k, w in enumerate(weights) if w >= line}, weights
 
 
 def test_sample_is_that_of_brute_force(spark):
-    docs, kinds = corpus()
-    docs += [(900, None), (901, ""), (902, " \n"), (None, docs[0][1])]
+    docs, kinds = corpus(2000)
+    docs += [(9000, None), (9001, ""), (9002, " \n"), (None, docs[0][1]), (9003, "Ab 12 12 x9 -- ! !"), (9004, "one")]
     labels = [(i, int(k != "junk"), int(k == "toxic")) for (i, _), k in zip(docs, kinds) if i % 2 == 0] + [(None, 1, 0), (7, None, 0), (11, 1, None), (0, 1, 0)]
-    settings = {"buckets": 1 << 12}
     left, right = frames(spark, docs, labels)
-    kept = quality.keep(left, right, **settings)
+    want, _ = brute(docs, labels, 0.002)
+    kept = quality.keep(left, right)
     assert kept.columns == left.columns
     ids = {r.doc_id for r in kept.collect()}
-    assert ids == {r.doc_id for r in quality.sample(left, right, **settings).collect()} == brute(docs, labels, settings)
+    assert ids == {r.doc_id for r in quality.sample(left, right).collect()} == want
     share = lambda kind: np.mean([i in ids for (i, _), k in zip(docs, kinds) if k == kind and i % 2])
+    print({k: round(float(share(k)), 4) for k in ("clean", "toxic", "junk")})
     assert share("clean") > 0.93 and share("toxic") < 0.1 and share("junk") < 0.02
 
 
+def test_it_is_a_sample(spark):
+    """With a temperature as large as the weights' spread, the draw decides as well as the weight; the likelier rows are kept more often."""
+    docs, kinds = corpus(seed=3)
+    labels = [(i, int(k != "junk"), int(k == "toxic")) for (i, _), k in zip(docs, kinds) if i % 2 == 0]
+    left, right = frames(spark, docs, labels)
+    ids = {r.doc_id for r in quality.sample(left, right, temperature=2.0, clean_share=0.5).collect()}
+    scores = {r.id: r.score for r in quality.fit(left, right).scores.collect()}
+    share = lambda kind: np.mean([i in ids for (i, _), k in zip(docs, kinds) if k == kind])
+    assert 0.3 < share("clean") < 0.7 and 0 < share("junk") < share("clean")
+    assert min(scores[i] for i in ids) < np.median([scores[i] for i in scores if i not in ids])
+    noise = [-math.log(-math.log((xxhash.xxh3_64_intdigest(key_of(*d).to_bytes(8, "little"), seed=1) + 0.5) / 2**64)) for d in docs]
+    assert abs(np.mean(noise) - 0.5772) < 0.15 and abs(np.std(noise) - math.pi / math.sqrt(6)) < 0.15
+
+
 def test_nothing_to_fit_on_keeps_rows_with_words(spark):
     left, right = frames(spark, [(1, "a b"), (2, None), (3, "c")], [])
     assert {r.doc_id for r in quality.keep(left, right, buckets=64).collect()} == {1, 3}
