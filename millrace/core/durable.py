@@ -38,3 +38,12 @@ def delete(spark: SparkSession, folder: str) -> None:
     """Remove a folder through Hadoop's file systems."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def release(*done: DataFrame) -> None:
+    """Delete the files of tables that cut() gave, once nothing reads them any more."""
+    for df in done:
+        plan = df._jdf.queryExecution().logical()
+        rdd = plan.rdd() if plan.getClass().getSimpleName() == "LogicalRDD" else None
+        if rdd is not None and rdd.getCheckpointFile().isDefined():
+            delete(df.sparkSession, rdd.getCheckpointFile().get())

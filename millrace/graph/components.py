@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.core.deploy import ship
-from millrace.core.durable import cut
+from millrace.core.durable import cut, release
 
 #: Links that one task takes: 128-bit names of this many pairs need about 300 MB there.
 ONE_TASK = 1_000_000
@@ -89,10 +89,12 @@ def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
         kind = links.schema[a].dataType
         schema = T.StructType([T.StructField("node", kind), T.StructField("root", kind)])
         return cut(links.repartition(1).mapInArrow(_joined, schema))
-    edges, seen = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), None
+    edges, seen, last = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), None, []
     while (now := _print(edges)) != seen:
         seen = now
         edges = cut(_small_star(_large_star(edges)), n)
+        release(*last)  # only the next round read it
+        last = [edges]
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

@@ -5,12 +5,15 @@ A graph never changes; every method gives a new one. Edges may repeat.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from millrace.core import types as K
 from millrace.core.deploy import ship
@@ -128,10 +131,16 @@ class Graph:
         src, dst = (x * n if len(x) == 1 else list(x) for x in (list(src), list(dst)))
         if len(src) != len(dst):
             raise ValueError("source and destination ids must pair up")
-        wanted = F.lit(False)
-        for s, d in zip(src, dst):
-            wanted = wanted | ((F.lit(True) if s is None else F.col(SRC) == s) & (F.lit(True) if d is None else F.col(DST) == d))
-        return df.where(wanted)
+        if (None, None) in zip(src, dst):
+            return df
+        found, rest = None, df
+        for keys in ([SRC, DST], [SRC], [DST]):  # pairs, then what only one end is given for, among the edges left
+            asked = {tuple(v for v in p if v is not None) for p in zip(src, dst) if (p[0] is not None, p[1] is not None) == (SRC in keys, DST in keys)}
+            if asked:
+                wanted = self.spark.createDataFrame(list(asked), T.StructType([T.StructField(k, self._kind()) for k in keys]))
+                hit, rest = rest.join(wanted, keys, "left_semi"), rest.join(wanted, keys, "left_anti")
+                found = hit if found is None else found.unionByName(hit)
+        return (df.limit(0) if found is None else found).select(df.columns)
 
     # fields ------------------------------------------------------------------
     def select_fields(self, names: Sequence[str]) -> Graph:
@@ -171,6 +180,17 @@ class Graph:
     def rename_edge_fields(self, names: dict[str, str]) -> Graph:
         return self.with_edges(lambda e: e.withColumnsRenamed(names))
 
+    @staticmethod
+    def _swapped(df: DataFrame, a: str, b: str) -> DataFrame:
+        return df.select(*(f"`{({a: b, b: a}).get(n, n)}`" for n in df.columns))
+
+    def swap_vertex_fields(self, a: str, b: str) -> Graph:
+        """Two fields in each other's place."""
+        return self.with_vertices(lambda v: self._swapped(v, a, b))
+
+    def swap_edge_fields(self, a: str, b: str) -> Graph:
+        return self.with_edges(lambda e: self._swapped(e, a, b))
+
     # neighbours --------------------------------------------------------------
     def get_neighborhood(self, ids: Iterable, radius: int = 1, full_subgraph: bool = True) -> Graph:
         """What lies within radius steps of the ids, directions apart.
@@ -247,40 +267,61 @@ class Graph:
         names = [c for c in self.edges.columns if c not in fields]
         return Graph._of(self.spark, self._v, self._triples().select(*(F.col(f"edge.{n}").alias(n) for n in names), *(c.alias(n) for n, c in fields.items())))
 
-    def triple_apply(self, fn: Callable[[dict, dict, dict], tuple], mutated_fields: Sequence[str], component_limit: int = 1_000_000) -> Graph:
+    def triple_apply(self, fn: Callable[[dict, dict, dict], tuple], mutated_fields: Sequence[str]) -> Graph:
         """fn(source, edge, target) for each edge in turn, in order of the ends' ids; each sees what the ones before wrote.
 
-        Edges that share no vertex can't see each other, so each connected component is
-        one task's work; a component of more than component_limit edges is an error, as
-        a sequence can't be dealt out: write such updates with send() or map_edges().
+        Edges that share no vertex can't see each other, so components are dealt out to
+        tasks. A task sorts its components' vertices and edges, which may spill, holds
+        the vertices of one component at a time and passes its edges through one by one.
+        A sequence can't be dealt out further: where a component's vertices are too many
+        for a task, or its edges too many to wait for, write the update with send() or
+        map_edges(), which have neither bound.
         """
         from millrace.graph.components import components
 
         ship(self.spark)
-        names = [mutated_fields] if isinstance(mutated_fields, str) else list(mutated_fields)
-        roots = components(self.edges.select(SRC, DST))
+        names = {mutated_fields} if isinstance(mutated_fields, str) else set(mutated_fields)
+        links = cut(self.edges.select(SRC, DST))
+        roots = components(links)
         v = self.vertices.join(roots.withColumnRenamed("node", ID), ID, "left").withColumn("root", F.coalesce("root", ID))
         e = self.edges.join(roots.withColumnRenamed("node", SRC), SRC, "left").withColumn("root", F.coalesce("root", SRC))
-        big = e.groupBy("root").count().agg(F.max("count")).first()[0] or 0
-        if big > component_limit:
-            raise ValueError(f"a component has {big} edges; use send() or map_edges()")
-        vf, ef = self.vertices.columns, self.edges.columns
-        schema = T.StructType([T.StructField("v", T.ArrayType(self.vertices.schema)), T.StructField("e", T.ArrayType(self.edges.schema))])
-
-        def run(vs, es):
-            vertices = {r[ID]: r.asDict(recursive=True) for r in vs or []}
-            edges = sorted((r.asDict(recursive=True) for r in es or []), key=lambda r: (str(r[SRC]), str(r[DST])))
-            for edge in edges:
-                s, x, t = fn(vertices[edge[SRC]], edge, vertices[edge[DST]])
-                for own, new in ((vertices[edge[SRC]], s), (edge, x), (vertices[edge[DST]], t)):
-                    own.update({n: new[n] for n in names if n in new and n in own})
-            return [tuple(r[n] for n in vf) for r in vertices.values()], [tuple(r[n] for n in ef) for r in edges]
-
-        call = F.udf(run, schema)
-        left = v.groupBy("root").agg(F.collect_list(F.struct(*vf)).alias("vs"))
-        right = e.groupBy("root").agg(F.collect_list(F.struct(*ef)).alias("es"))
-        done = cut(left.join(right, "root", "left").select(call("vs", "es").alias("d")))
-        return Graph._of(self.spark, done.select(F.explode("d.v").alias("x")).select("x.*"), done.select(F.explode("d.e").alias("x")).select("x.*"))
+        vf, ef = self.vertices.schema, self.edges.schema
+        none = lambda schema: F.lit(None).cast(schema)
+        place = [F.col(c).cast("string") for c in (SRC, DST)]
+        rows = v.select("root", F.lit(0).alias("kind"), F.lit("").alias("a"), F.lit("").alias("b"), F.struct(*vf.names).alias("v"), none(ef).alias("e")).unionByName(
+            e.select("root", F.lit(1).alias("kind"), place[0].alias("a"), place[1].alias("b"), none(vf).alias("v"), F.struct(*ef.names).alias("e"))
+        )
+        dealt = rows.repartition("root").sortWithinPartitions("root", "kind", "a", "b")
+        out = T.StructType([T.StructField("v", vf), T.StructField("e", ef)])
+        kinds = [pa.field("v", to_arrow_type(vf)), pa.field("e", to_arrow_type(ef))]
+
+        def run(batches):
+            vertices, root, done = {}, None, []
+
+            def flushed():
+                return pa.RecordBatch.from_arrays([pa.array([r[k] for r in done], kinds[k].type) for k in (0, 1)], schema=pa.schema(kinds))
+
+            for batch in batches:
+                for own, kind, vertex, edge in zip(*(batch.column(c).to_pylist() for c in ("root", "kind", "v", "e"))):
+                    if own != root:
+                        done += [(x, None) for x in vertices.values()]
+                        vertices, root = {}, own
+                    if kind == 0:
+                        vertices[vertex[ID]] = vertex
+                        continue
+                    s, x, t = fn(dict(vertices[edge[SRC]]), dict(edge), dict(vertices[edge[DST]]))
+                    for mine, new in ((vertices[edge[SRC]], s), (edge, x), (vertices[edge[DST]], t)):
+                        mine.update({n: new[n] for n in names if n in new and n in mine})
+                    done.append((None, edge))
+                    if len(done) >= 10_000:
+                        yield flushed()
+                        done.clear()
+            done += [(x, None) for x in vertices.values()]
+            if done:
+                yield flushed()
+
+        done = cut(dealt.mapInArrow(run, out))
+        return Graph._of(self.spark, done.where("v is not null").select("v.*"), done.where("e is not null").select("e.*"))
 
     # worked examples -----------------------------------------------------------
     def degrees(self) -> DataFrame:
@@ -303,16 +344,50 @@ class Graph:
 
     # files -----------------------------------------------------------------------
     def save(self, path: str, format: str = "binary") -> None:
-        """Vertices and edges as two tables below path, in the binary, json or csv format."""
+        """Vertices and edges as two tables below path, in the binary, json or csv format, with their schemas beside them.
+
+        In csv, lists and dictionaries are JSON text.
+        """
         writer = {"binary": "parquet", "json": "json", "csv": "csv"}[format]
         for name, df in (("vertices", self.vertices), ("edges", self.edges)):
-            df.write.mode("overwrite").option("header", True).format(writer).save(f"{path}/{name}")
+            self.spark.createDataFrame([(df.schema.json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}.schema")
+            if format == "csv":
+                df = df.select(*((F.to_json(f"`{c.name}`") if _deep(c.dataType) else F.col(f"`{c.name}`")).alias(c.name) for c in df.schema))
+            df.write.mode("overwrite").options(header=True, ignoreNullFields=False, quoteAll=True, escape='"', nullValue="\\N", emptyValue="").format(writer).save(f"{path}/{name}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, format: str = "binary", delimiter: str | None = None) -> Graph:
-        """A saved graph (binary), or edges of two columns in a text file: csv, tsv, or snap with # for comments."""
-        if format == "binary":
-            return cls._of(spark, spark.read.parquet(f"{path}/vertices"), spark.read.parquet(f"{path}/edges"))
+        """A graph that save() wrote, in any format, or edges in text files: csv, tsv, or snap with # for comments.
+
+        In a text file the first two columns are the ends, of numbers or text alike, and
+        further ones are edge fields; snap has whole numbers only. There is no header.
+        """
+        if format == "binary" or format in ("json", "csv") and _exists(spark, f"{path}/edges.schema"):
+            return cls._of(spark, *(cls._read(spark, f"{path}/{name}", format) for name in ("vertices", "edges")))
+        if format == "json":
+            raise ValueError("no saved graph is there")
+        from millrace.sources import readers
+
         sep = delimiter or ("," if format == "csv" else "\t")
-        df = spark.read.csv(path, sep=sep, comment="#" if format == "snap" else None, schema=f"`{SRC}` long, `{DST}` long")
-        return cls(spark, edges=df)
+        t = readers.read_csv(spark, path, delimiter=sep, header=False, comment_char="#" if format == "snap" else "", column_type_hints=int if format == "snap" else None)
+        return cls(spark, edges=t.frame(), src_field="X1", dst_field="X2")
+
+    @staticmethod
+    def _read(spark: SparkSession, path: str, format: str) -> DataFrame:
+        if format == "binary":
+            return spark.read.parquet(path)
+        schema = T.StructType.fromJson(json.loads(spark.read.text(f"{path}.schema").first()[0]))
+        if format == "json":
+            return spark.read.schema(schema).json(path)
+        plain = T.StructType([T.StructField(c.name, T.StringType() if _deep(c.dataType) else c.dataType) for c in schema])
+        df = spark.read.options(header=True, escape='"', nullValue="\\N", emptyValue="", multiLine=True).schema(plain).csv(path)
+        return df.select(*((F.from_json(f"`{c.name}`", c.dataType) if _deep(c.dataType) else F.col(f"`{c.name}`")).alias(c.name) for c in schema))
+
+
+def _deep(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.ArrayType, T.MapType, T.StructType))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(found)

@@ -31,6 +31,8 @@ def test_selection(g):
     assert {r["__id"] for r in g.get_vertices(fields={"color": None}).collect()} == {"a", "b", "c", "d"}
     assert g.get_edges("a", "b").count() == 2 and g.get_edges(src_ids=["a", None], dst_ids=[None, "d"]).count() == 3
     assert g.get_edges(fields={"w": [0.5, 1.0]}).count() == 2
+    assert g.get_edges().count() == 4 and g.get_edges("zz", None).count() == 0 and g.get_edges(["a", "a", None], ["b", None, "b"]).count() == 2
+    assert g.swap_vertex_fields("color", "n").get_vertex_fields() == ["__id", "n", "color"] and g.add_edge_field("k", 1).swap_edge_fields("w", "k").get_edge_fields()[2:] == ["k", "w"]
     assert g.get_fields() == ["__id", "color", "n", "__src_id", "__dst_id", "w"]
     assert g.select_fields("n").get_fields() == ["__id", "n", "__src_id", "__dst_id"]
     h = g.add_edge_field("k", 1).remove_vertex_field("n").rename_edge_fields({"w": "weight"})
@@ -66,8 +68,18 @@ def test_triple_apply_in_turn(spark):
     done = star.triple_apply(count, ["deg", "seen"])
     assert {r["__id"]: r["deg"] for r in done.vertices.collect()} == {0: 39} | {i: 1 for i in range(1, 40)}
     assert sorted(r["seen"] for r in done.edges.collect()) == list(range(1, 40))
-    with pytest.raises(ValueError):
-        star.triple_apply(count, ["deg"], component_limit=5)
+    rng = random.Random(3)
+    pairs = sorted((rng.randrange(30), rng.randrange(30)) for _ in range(40))
+    many = Graph(spark, [Vertex(i, {"log": ""}) for i in range(32)], [Edge(*p) for p in pairs])
+
+    def note(source, edge, target):
+        source["log"] = target["log"] = f"{source['log'][-6:]}|{target['log'][-6:]}|{edge['__src_id']}-{edge['__dst_id']}"
+        return source, edge, target
+
+    want = {i: "" for i in range(32)}
+    for s, d in sorted(pairs, key=lambda p: (str(p[0]), str(p[1]))):
+        want[s] = want[d] = f"{want[s][-6:]}|{want[d][-6:]}|{s}-{d}"
+    assert {r["__id"]: r["log"] for r in many.triple_apply(note, "log").vertices.collect()} == want
 
 
 def test_pagerank_and_degrees(spark):
@@ -89,3 +101,14 @@ def test_files(g, spark, tmp_path):
     assert edges(Graph.load(spark, str(tmp_path / "s.txt"), "snap")) == [(1, 2), (2, 3)]
     (tmp_path / "s.csv").write_text("1,2\n")
     assert edges(Graph.load(spark, str(tmp_path / "s.csv"), "csv")) == [(1, 2)]
+    (tmp_path / "t.tsv").write_text("a\tb\t1.5\nc\td\t2\n")
+    text = Graph.load(spark, str(tmp_path / "t.tsv"), "tsv")
+    assert edges(text) == [("a", "b"), ("c", "d")] and sorted(r["X3"] for r in text.edges.collect()) == [1.5, 2.0]
+    deep = g.add_vertex_field("list", F.array(F.lit(1), F.col("n"))).add_edge_field("note", F.when(F.col("w").isNotNull(), 'a "b", c\nd').otherwise(""))
+    plain = lambda df: sorted(map(str, df.collect()))
+    for format in ("binary", "json", "csv"):
+        deep.save(str(tmp_path / format), format)
+        back = Graph.load(spark, str(tmp_path / format), format)
+        assert plain(back.vertices) == plain(deep.vertices) and plain(back.edges) == plain(deep.edges)
+    with pytest.raises(ValueError):
+        Graph.load(spark, str(tmp_path), "json")
