@@ -96,10 +96,16 @@ def packed(columns: dict[str, tuple[Column, T.DataType]], keys: dict[str, str],
     return F.array(*cells.values()), T.ArrayType(kind)
 
 
+#: Columns that a dictionary may be unpacked to without naming them.
+MOST_KEYS = 10_000
+
+
 def unpacked(df: DataFrame, c: Column, kind: T.DataType, prefix: str, column_types, na_value, limit: Sequence | None) -> dict[str, tuple[Column, T.DataType]]:
     """A column for each key, in order, or each place. The width of lists is that of the longest; keys are those of all rows."""
     if is_dict(kind):
-        keys = list(limit) if limit is not None else sorted(r[0] for r in df.select(F.explode(F.map_keys(c)).alias("k")).distinct().collect())
+        keys = list(limit) if limit is not None else sorted(r[0] for r in df.select(F.explode(F.map_keys(c)).alias("k")).distinct().limit(MOST_KEYS + 1).collect())
+        if limit is None and len(keys) > MOST_KEYS:
+            raise ValueError(f"more than {MOST_KEYS} keys would each be a column; name the ones wanted by limit, or stack the column")
         cells = {str(k): F.get(F.filter(F.map_entries(c), lambda e: e["key"] == literal(k, kind.keyType)), 0)["value"] for k in keys}
         inner = kind.valueType
     else:

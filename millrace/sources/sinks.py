@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +28,11 @@ def save(table, path: str, format: str | None = None) -> None:
         raise ValueError("format must be 'binary', 'csv' or 'json'")
 
 
+def save_reference(table, path: str) -> None:
+    """Save a table of columns that are kept elsewhere; tables here are plans over their sources, so all rows are written and the result stands alone."""
+    save(table, path, "binary")
+
+
 def save_column(column, path: str, format: str = "binary") -> None:
     if format == "text":
         column.to_table("value").frame().select(F.col("value").cast("string")).write.mode("overwrite").text(path)
@@ -50,23 +57,37 @@ def export_csv(
     table, path: str, delimiter: str = ",", line_terminator: str = "\n", header: bool = True, quote_level: int = 2, double_quote: bool = True, escape_char: str = "\\",
     quote_char: str = '"', na_rep: str = "", file_header: str = "", file_footer: str = "", line_prefix: str = "",
 ) -> None:
-    """A folder of CSV files in order of rows; prefix, header and footer are lines of their own, the last file's last line is the footer.
+    """A folder of CSV files in order of rows, each with the file header and the header, so that each can be read by itself.
 
-    Without rows there is one file with the header only. To have one file, coalesce the folder.
+    Prefix, headers and footer are lines of their own; the footer is the last file's
+    last line. Without rows there is one file with the headers only.
     """
     df, order = table._plain(numbered=True)
     cells = [_cell(F.col(f"`{n}`"), k, quote_level, quote_char, escape_char, double_quote, na_rep) for n, k in table.kinds.items()]
     line = F.concat(F.lit(line_prefix), F.array_join(F.array(*cells), delimiter))
     body = df.select(F.col(RID), line.alias("value"))
-    extra = [(-2, file_header)] if file_header else []
+    top = [file_header] if file_header else []
     if header:
         mark = lambda n: n if quote_level == 3 else quote_char + n + quote_char
-        extra.append((-1, line_prefix + delimiter.join(map(mark, table.column_names()))))
+        top.append(line_prefix + delimiter.join(map(mark, table.column_names())))
     if file_footer:
-        extra.append((2**62, file_footer))
-    if extra:
-        body = body.unionByName(table.spark.createDataFrame(extra, f"{RID} long, value string"))
-    body.orderBy(RID).select("value").write.mode("overwrite").option("lineSep", line_terminator).text(path)
+        body = body.unionByName(table.spark.createDataFrame([(2**62, file_footer)], f"{RID} long, value string"))
+    lines = body.orderBy(RID).select("value")
+
+    def headed(batches):
+        begun = False
+        for batch in batches:
+            if batch.num_rows and not begun:
+                begun = True
+                yield pa.RecordBatch.from_arrays([pa.array(top, pa.string())], schema=batch.schema)
+            yield batch
+
+    if top:
+        if body.isEmpty():
+            lines = table.spark.createDataFrame([(x,) for x in top], "value string").coalesce(1)
+        else:
+            lines = lines.mapInArrow(headed, "value string")
+    lines.write.mode("overwrite").option("lineSep", line_terminator).text(path)
 
 
 def export_json(table, path: str, orient: str = "records") -> None:
@@ -86,12 +107,15 @@ def export_json(table, path: str, orient: str = "records") -> None:
 
 
 def to_sql(table, connection, name: str, paramstyle: str = "qmark") -> None:
-    """Append the rows to a table of a DB-API connection, fetched partition by partition."""
+    """Append the rows to a table of a DB-API connection, fetched partition by partition and inserted in lots of 10,000.
+
+    The connection is the driver's, so rows pass through it; to_jdbc() writes from the tasks.
+    """
     marks = {"qmark": "?", "format": "%s"}[paramstyle]
     statement = f"INSERT INTO {name} ({', '.join(table.column_names())}) VALUES ({', '.join([marks] * table.num_columns())})"
-    cursor = connection.cursor()
-    for row in table:
-        cursor.execute(statement, [json.dumps(v) if isinstance(v, (list, dict)) else v for v in row.values()])
+    cursor, rows = connection.cursor(), iter(table)
+    while lot := [[json.dumps(v) if isinstance(v, (list, dict)) else v for v in row.values()] for row in itertools.islice(rows, 10_000)]:
+        cursor.executemany(statement, lot)
     connection.commit()
 
 

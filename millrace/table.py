@@ -31,7 +31,7 @@ def _fn(f: Callable, kind: T.DataType) -> Callable:
     def call(v):
         return K.converted(f(v), kind)
 
-    return F.udf(call, kind)
+    return F.udf(call, kind, useArrow=True)
 
 
 class Col:
@@ -307,7 +307,7 @@ class Col:
         """1 for each of the topk largest (smallest if reverse) cells, earlier rows first, else 0."""
         rows = self.rows.by_number()
         value = F.when(~S.is_na(self.expr, self.kind), self.expr)
-        best = rows.df.select(RID, value.alias("v")).where("v is not null").orderBy(F.asc("v") if reverse else F.desc("v"), RID).limit(topk).select(F.col(RID), F.lit(1).alias("__top"))
+        best = rows.df.select(F.col(RID), value.alias("v")).where("v is not null").orderBy(F.asc("v") if reverse else F.desc("v"), RID).limit(topk).select(F.col(RID), F.lit(1).alias("__top"))
         marked = Rows(rows.df.join(best, RID, "left"), [RID], True, rows)
         return Col(marked, F.coalesce("__top", F.lit(0)).cast("long"), K.INT)
 
@@ -358,9 +358,16 @@ class Col:
         return None if v is None else v**0.5
 
     def _arg(self, largest: bool):
-        rows = self.rows.by_number()
-        t = rows.df.select(F.col(RID), G._numbers(self.expr, self.kind).alias("v")).where("v is not null").orderBy(F.desc("v") if largest else F.asc("v"), RID).first()
-        return None if t is None else t[0]
+        """The place of the best cell: with an order, a top-1 and then a count of the rows before it; else by number."""
+        value = G._numbers(self.expr, self.kind).alias("v")
+        if not self.rows.order:
+            rows = Rows(self.rows.df.select(value)).by_number()
+            t = rows.df.where("v is not null").orderBy(F.desc("v") if largest else F.asc("v"), RID).first()
+            return None if t is None else t[RID]
+        cells = self.rows.df.select(F.struct(*self.rows.order).alias("at"), value)
+        best = cells.where("v is not null").orderBy(F.desc("v") if largest else F.asc("v"), "at").limit(1).select("at")
+        before, known = cells.agg(F.count_if(F.col("at") < best.scalar()), F.count("v")).first()
+        return before if known else None
 
     def argmax(self):
         return self._arg(True)
@@ -491,10 +498,14 @@ class Table:
         values = {n: list(v) for n, v in data.items()}
         if len({len(v) for v in values.values()}) > 1:
             raise RuntimeError("columns have different lengths")
-        kinds = {n: K.infer(v) for n, v in values.items()}
-        rows = [(i, *(K.converted(x, k) for x, k in zip(r, kinds.values()))) for i, r in enumerate(zip(*values.values()))]
-        schema = T.StructType([T.StructField(RID, T.LongType()), *(T.StructField(f"c{i}", k) for i, k in enumerate(kinds.values()))])
-        return cls(Rows(spark.createDataFrame(rows, schema), [RID], True), {n: (F.col(f"c{i}"), k) for i, (n, k) in enumerate(kinds.items())})
+        return cls.of_rows(spark, list(values), [K.infer(v) for v in values.values()], zip(*values.values()))
+
+    @classmethod
+    def of_rows(cls, spark: SparkSession, names: Sequence[str], kinds: Sequence[T.DataType], rows: Iterable[Sequence], start: int = 0) -> Table:
+        """A table of Python rows, numbered from start on."""
+        data = [(i, *(K.converted(x, k) for x, k in zip(r, kinds))) for i, r in enumerate(rows, start)]
+        schema = T.StructType([T.StructField(RID, T.LongType()), *(T.StructField(f"c{i}", k) for i, k in enumerate(kinds))])
+        return cls(Rows(spark.createDataFrame(data, schema), [RID], True), {n: (F.col(f"c{i}"), k) for i, (n, k) in enumerate(zip(names, kinds))})
 
     # plumbing --------------------------------------------------------------
     @property
@@ -743,11 +754,11 @@ class Table:
         return Table(rows, {column_name: (F.col(RID) + start, K.INT), **self._columns})
 
     def _lot(self, fraction: float, seed: int) -> tuple[Table, Column]:
-        """A row is in the lot if a hash of its number and the seed is small enough."""
+        """A row is in the lot if a hash of its place in the order, or else of its number, and the seed is small enough."""
         if not 0 <= fraction <= 1:
             raise ValueError("a fraction is between 0 and 1")
-        rows = self.rows.by_number()
-        lot = F.pmod(F.xxhash64(RID, F.lit(seed)), F.lit(1 << 30)) < int(fraction * (1 << 30))
+        rows = self.rows if self.rows.order else self.rows.by_number()
+        lot = F.pmod(F.xxhash64(*rows.order, F.lit(seed)), F.lit(1 << 30)) < int(fraction * (1 << 30))
         return Table(rows, self._columns), lot
 
     def sample(self, fraction: float, seed: int = 0) -> Table:
@@ -911,7 +922,7 @@ class Table:
         else:
             kinds = [K.spark_type(t) for t in column_types]
         inner = T.StructType([T.StructField(f"c{i}", k) for i, k in enumerate(kinds)])
-        many = F.udf(lambda r: [tuple(K.converted(x, k) for x, k in zip(out, kinds)) for out in call(r)], T.ArrayType(inner))
+        many = F.udf(lambda r: [tuple(K.converted(x, k) for x, k in zip(out, kinds)) for out in call(r)], T.ArrayType(inner), useArrow=True)
         df = self.rows.df.select(*self.rows.order, F.posexplode(many(row)).alias("__at", "__out"))
         out = df.select(*self.rows.order, "__at", *(F.col(f"__out.c{i}").alias(n) for i, n in enumerate(names)))
         return self._settled(out, [*self.rows.order, "__at"] if self.rows.order else [], kinds=dict(zip(names, kinds)))
@@ -921,6 +932,11 @@ class Table:
 
         sinks.save(self, path, format)
 
+    def save_reference(self, path: str) -> None:
+        from millrace.sources import sinks
+
+        sinks.save_reference(self, path)
+
     def export_csv(self, path: str, **settings) -> None:
         from millrace.sources import sinks
 

@@ -43,6 +43,39 @@ def test_csv_settings(spark, tmp_path):
     assert rows(readers.read_csv(spark, url))[0] == ('x "y"', 1)
 
 
+def test_csv_skips_by_position(spark, tmp_path):
+    url = put(tmp_path / "s.csv", "1,2\na,b\n3,4\n1,2\na,b\n5,6\n")
+    t, bad = readers.read_csv_with_errors(spark, url, skiprows=1, column_type_hints={"a": int, "b": int})
+    assert rows(t) == [(3, 4), (1, 2), (5, 6)] and {f: list(c) for f, c in bad.items()} == {url: ["a,b"]}
+    url = put(tmp_path / "h.csv", "a,b\n1,2\na,b\n3,4\n")
+    assert rows(readers.read_csv(spark, url, column_type_hints=str)) == [("1", "2"), ("a", "b"), ("3", "4")]
+    url = put(tmp_path / "t.csv", "trash\njunk\nnumbers\n" + "".join(f"{i}\n" for i in range(50)))
+    assert rows(readers.read_csv(spark, url, skiprows=2, column_type_hints={"numbers": int})) == [(i,) for i in range(50)]
+    assert readers.read_csv(spark, url, skiprows=2, column_type_hints={"numbers": list}).num_rows() == 0
+    url = put(tmp_path / "c.csv", "x\n# note\n\n# more\nn,m\n# inside\n7,8\n")
+    assert rows(readers.read_csv(spark, url, skiprows=1, comment_char="#")) == [(7, 8)]
+
+
+def test_csv_of_several_files(spark, tmp_path):
+    (tmp_path / "many").mkdir()
+    sizes = [3, 40, 1, 17]
+    for k, n in enumerate(sizes):  # Spark packs files by size; rows come by file
+        put(tmp_path / "many" / f"{k}.csv", "note\nk,i\n" + "".join(f"{k},{i}\n" for i in range(n)) + ("wrong,x\n" if k % 2 else ""))
+    t, bad = readers.read_csv_with_errors(spark, str(tmp_path / "many"), skiprows=1)
+    assert rows(t) == [(k, i) for k, n in enumerate(sizes) for i in range(n)]
+    assert {f: list(c) for f, c in bad.items()} == {str(tmp_path / "many" / f"{k}.csv"): ["wrong,x"] for k in (1, 3)}
+    assert rows(readers.read_csv(spark, str(tmp_path / "many"), skiprows=1, nrows=5)) == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:  # parts of a few lines each, so that the lines to skip run over several
+        url = put(tmp_path / "parts.csv", "".join(f"skip {i}\n" for i in range(30)) + "i\n" + "".join(f"{i}\n" for i in range(200)))
+        assert rows(readers.read_csv(spark, url, skiprows=30)) == [(i,) for i in range(200)]
+        wide = Table.from_spark(spark.range(300).repartition(4).toDF("i"), "i")
+        wide.export_csv(str(tmp_path / "out"), file_header="top")
+        assert rows(readers.read_csv(spark, str(tmp_path / "out"), skiprows=1)) == [(i,) for i in range(300)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_literals():
     assert parse("[1, [2, 'a b'], {x: 3}]") == [1, [2, "a b"], {"x": 3}]
     assert parse("{'k': [1.5, None]}") == {"k": [1.5, None]}
@@ -93,6 +126,13 @@ def test_databases(t, spark):
     back = readers.from_sql(spark, db, "SELECT i, s, x FROM out WHERE i < ? ORDER BY i", (3,), cursor_arraysize=1)
     assert rows(back) == [(1, 'q"q', None), (2, None, 2.0)] and back.column_types() == [int, str, float]
     assert readers.from_sql(spark, db, "SELECT i FROM out", column_type_hints={"i": str}).column_types() == [str]
+    held, readers._HELD = readers._HELD, 7
+    try:
+        Table.of(spark, {"i": list(range(40)), "s": [f"s{i}" for i in range(40)], "x": [None] * 40}).to_sql(db, "out")
+        back = readers.from_sql(spark, db, "SELECT i, s FROM out WHERE x IS NULL AND s LIKE ? ORDER BY i DESC", ("s%",), type_inference_rows=5, cursor_arraysize=3)
+        assert [r["i"] for r in back] == list(range(39, -1, -1))
+    finally:
+        readers._HELD = held
 
 
 def test_other_sources(spark):
