@@ -150,3 +150,27 @@ class Sketch:
 
     def cancel(self) -> None:
         self._column.rows.df.sparkSession.interruptTag(self._group)
+
+
+class CountMin:
+    """A table of hashed counts of a column's cells, built in one pass and of fixed size: estimates are never below the real count.
+
+    With probability confidence an estimate is above by eps of all cells at most. Cells
+    are whole numbers or text; nulls don't count.
+    """
+
+    def __init__(self, column: Col, eps: float = 0.001, confidence: float = 0.99, seed: int = 1):
+        if not isinstance(column.kind, (T.LongType, T.StringType)):
+            raise TypeError("cells must be whole numbers or text")
+        df = column.frame("c").where("c is not null")
+        found = df.agg(F.count_min_sketch("c", F.lit(eps), F.lit(confidence), F.lit(seed))).first()[0]
+        self._sketch = None if found is None else df.sparkSession._jvm.org.apache.spark.util.sketch.CountMinSketch.readFrom(bytes(found))
+
+    def estimate(self, element) -> int:
+        if self._sketch is None:
+            return 0
+        return self._sketch.estimateCount(element) if isinstance(element, str) else self._sketch.estimateCount(int(element))
+
+    def density(self) -> float:
+        """Cells counted, relative to the width of the table."""
+        return 0.0 if self._sketch is None else self._sketch.totalCount() / self._sketch.width()

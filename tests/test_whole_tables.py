@@ -20,20 +20,20 @@ def found(spark, name):
 
 
 def test_quantiles_are_of_all_rows(spark):
-    rows = found(spark, "groupby_quantile_all")
+    rows = found(spark, "groupby_quantile")
     assert sum(r.n for r in rows) == one("SELECT count(*) FROM {lineitem}")[0][0]
     assert all(r.median_near == 1 and r.high_near == 1 for r in rows)
 
 
 def test_joins_are_of_all_rows(spark):
-    assert {r.o_orderkey for r in found(spark, "join_right_all")} - {None} == {k for k, in one("SELECT o_orderkey FROM {orders} JOIN {customer} ON o_custkey = c_custkey")}
-    assert sum(r.x is not None for r in found(spark, "join_outer_all")) == one("SELECT count(*) FROM {customer}")[0][0]
-    n = {r.k: r.n for r in found(spark, "join_null_keys_all")}
+    assert {r.o_orderkey for r in found(spark, "join_right")} - {None} == {k for k, in one("SELECT o_orderkey FROM {orders} JOIN {customer} ON o_custkey = c_custkey")}
+    assert sum(r.x is not None for r in found(spark, "join_outer")) == one("SELECT count(*) FROM {customer}")[0][0]
+    n = {r.k: r.n for r in found(spark, "join_null_keys")}
     assert n[None] == one("SELECT (SELECT count(*) FROM {customer} WHERE c_custkey % 2 <> 0) * (SELECT count(*) FROM {supplier} WHERE s_suppkey % 2 <> 0)")[0][0]
 
 
 def test_whole_lists_are_stacked(spark):
-    got = Counter((r.vec_id, r.x) for r in found(spark, "stack_list_all"))
+    got = Counter((r.vec_id, r.x) for r in found(spark, "stack_list"))
     assert got == Counter((i, x) for i, v in one("SELECT vec_id, embedding FROM {embeddings}") for x in v)
 
 
@@ -56,5 +56,5 @@ def test_ngrams_are_of_whole_documents(spark, tmp_path):
     texts = one("SELECT doc_id, text FROM {documents}")
     skewed = [(10**6, None), (10**6 + 1, ""), (10**6 + 2, " \n\t"), (10**6 + 3, "so much, " * 20_000), (10**6 + 4, "😀 é!x"), (10**6 + 5, "one")]
     spark.createDataFrame(texts + skewed, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    for name, n, character in (("word_ngrams_documents", 2, False), ("char_ngrams_documents", 3, True)):
+    for name, n, character in (("word_ngrams", 2, False), ("char_ngrams", 3, True)):
         assert bags(entry.queries()[name](spark, str(tmp_path)).collect()) == brute_bags(texts + skewed, n, character)
