@@ -102,6 +102,11 @@ def FREQ_COUNT(c):
     return Agg("FreqCount", (c,))
 
 
+def USER(f, *columns):
+    """An aggregate of the caller's own: f makes an aggregated expression of the columns', from Spark's functions or registered ones."""
+    return Agg("User", columns, (f,))
+
+
 MEAN, VARIANCE, STDV = AVG, VAR, STD
 
 
@@ -117,6 +122,8 @@ def _plain(a: Agg, kinds: dict[str, T.DataType], order: list[str]) -> Column | N
         raise TypeError(f"{a.op} isn't defined for {kind.simpleString()}")
     if a.op in ("Min", "Max", "Argmax", "Argmin") and not (is_number(kind) or isinstance(kind, T.TimestampType)):
         raise TypeError(f"{a.op} isn't defined for {kind.simpleString()}")
+    if a.op == "User":
+        return a.extra[0](*(F.col(f"`{n}`") for n in a.columns))
     simple: dict[str, Callable[[], Column]] = {
         "Sum": lambda: F.coalesce(F.sum(c), F.lit(0).cast(kind)),
         "Avg": lambda: F.avg(c),

@@ -50,3 +50,15 @@ def joined(left: DataFrame, left_kinds: dict[str, T.DataType], right: DataFrame,
         kinds[new] = kind
         out.append(F.col(at_r[n]).alias(new))
     return both.select(*out), kinds
+
+
+def apart(df: DataFrame, key: str) -> DataFrame:
+    """The same rows, a few for each key at most, for the small side of a join on a key that may be hot in the other.
+
+    Rows fresh from an aggregation by the key would be joined in the aggregation's own
+    stage, where adaptive execution can't split a hot key. Here the key, of whole
+    numbers or bytes, passes through an expression that keeps its value but hides how
+    the rows lie, so that the join has an exchange right below it on both sides.
+    """
+    long = isinstance(df.schema[key].dataType, T.LongType)
+    return df.withColumn(key, F.bitwise_not(F.bitwise_not(key)) if long else F.substring(F.col(key), F.lit(1), F.lit(2**31 - 1)))

@@ -177,7 +177,7 @@ def dropna_fillna(spark, sf):
 # rows --------------------------------------------------------------------------------
 @query("SELECT row_number() OVER (ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) - 1 AS place, o_orderkey FROM orders")
 def sort_multi(spark, sf):
-    t = _t(spark, sf, "orders").sort([("o_orderpriority", True), ("o_totalprice", False), ("o_orderkey", True)])
+    t = _t(spark, sf, "orders")[["o_orderkey", "o_orderpriority", "o_totalprice"]].sort([("o_orderpriority", True), ("o_totalprice", False), ("o_orderkey", True)])
     return t.add_row_number("place")[["place", "o_orderkey"]].frame()
 
 
@@ -259,6 +259,16 @@ def column_append(spark, sf):
     return t.add_column(c["c_mktsegment"].append(s["s_name"]), "v").frame()
 
 
+@query("SELECT p_partkey, round(ln(p_retailprice) + sqrt(p_size), 6) AS x, floor(p_retailprice / 7)::BIGINT AS y, atan2(p_size, p_retailprice) > 0 AS z FROM part")
+def column_functions(spark, sf):
+    """Functions of Spark's over cells, one of them by its registered name."""
+    t = _t(spark, sf, "part")
+    t["x"] = t["p_retailprice"].call(lambda p, s: F.ln(p) + F.sqrt(s), t["p_size"])
+    t["y"] = (t["p_retailprice"] / 7).call(F.floor)
+    t["z"] = t["p_size"].call(lambda s, p: F.call_function("atan2", s, p), t["p_retailprice"]) > 0
+    return _rounded(t[["p_partkey", "x", "y", "z"]], "x", digits=6).withColumn("z", F.col("z") == 1)
+
+
 @query("SELECT event_id FROM events WHERE value * 2 > 90")
 def column_filter(spark, sf):
     """Cells that a Python function keeps."""
@@ -358,6 +368,13 @@ def groupby_basic(spark, sf):
     return _rounded(g, "m")
 
 
+@query("SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 6) AS c, count(*) FILTER (l_discount > 0.05) AS n FROM lineitem GROUP BY ALL")
+def groupby_user(spark, sf):
+    """Aggregates of the caller's own."""
+    g = _t(spark, sf, "lineitem").groupby("l_returnflag", {"c": agg.USER(F.corr, "l_quantity", "l_extendedprice"), "n": agg.USER(lambda d: F.count_if(d > 0.05), "l_discount")})
+    return _rounded(g, "c", digits=6)
+
+
 @query("SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
 def groupby_keys(spark, sf):
     return _t(spark, sf, "orders").groupby(["o_orderstatus", "o_orderpriority"], {}).frame()
@@ -451,8 +468,13 @@ def column_reductions(spark, sf):
 
 
 # windows -----------------------------------------------------------------------------------
+def _values(spark, sf) -> Table:
+    """Only the columns that windows need, as rows are numbered in a checkpoint of all that a table is made from."""
+    return Table.from_spark(spark.read.parquet(f"{sf}/events.parquet").select("event_id", "value"), "event_id")
+
+
 def _windowed(spark, sf, **columns) -> DataFrame:
-    t = _events(spark, sf)
+    t = _values(spark, sf)
     for name, f in columns.items():
         t[name] = f(t)
     return _rounded(t[["event_id", *columns]], *(n for n in columns if n != "n"))
@@ -486,7 +508,7 @@ def rolling_count(spark, sf):
 @query("SELECT event_id, round(sum(value) OVER w, 2) AS s, round(sum(value) OVER w, 2) AS m FROM events WINDOW w AS (ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
 def cumulative_sum(spark, sf):
     """The mean is compared as the sum that it stands for, whose digits end."""
-    t = _events(spark, sf).add_row_number("n", 1)
+    t = _values(spark, sf).add_row_number("n", 1)
     t["s"] = t["value"].cumulative_sum()
     t["m"] = t["value"].cumulative_mean()
     t["m"] = t["m"] * t["n"]

@@ -266,7 +266,15 @@ class Col:
         ship(self.rows.df.sparkSession)
         return self._with(I.resized(self.expr, width, height, channels), I.IMAGE)
 
-    # functions in Python -----------------------------------------------------
+    # functions of Spark's and in Python --------------------------------------
+    def call(self, f: Callable[..., Column], *others) -> Col:
+        """f over the cells of this column and others, as an expression: a function of Spark's, or a registered one by F.call_function."""
+        rows, parts = _aligned(self, *others)
+        expr = f(*(e for e, _ in parts))
+        found = rows.df.select(expr.alias("c")).schema["c"].dataType
+        kind = K.standard_type(found)
+        return Col(rows, expr if kind.simpleString() == found.simpleString() else expr.cast(kind), kind)
+
     def apply(self, fn: Callable, dtype=None, skip_undefined: bool = True) -> Col:
         """fn of each cell; its type is that of up to 100 results unless given."""
         ship(self.rows.df.sparkSession)

@@ -112,3 +112,17 @@ def test_files(g, spark, tmp_path):
         assert plain(back.vertices) == plain(deep.vertices) and plain(back.edges) == plain(deep.edges)
     with pytest.raises(ValueError):
         Graph.load(spark, str(tmp_path), "json")
+
+
+def test_released_checkpoints_are_gone(spark):
+    import os
+
+    from millrace.core.durable import cut, ensure_checkpoint_dir, release
+
+    home = ensure_checkpoint_dir(spark).removeprefix("file://")
+    count = lambda: sum(len(f) for _, _, f in os.walk(home))
+    before = count()
+    a, b = cut(spark.range(100)), cut(spark.range(50))
+    assert count() > before and a.count() == 100
+    release(a, b, spark.range(3))
+    assert count() == before
