@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.core.deploy import ship
-from millrace.core.durable import cut
-from millrace.llm.components import components
+from millrace.core.durable import cut, release
+from millrace.graph.components import components
+from millrace.operators.join import apart
 from millrace.llm.text import fold, mix, shingle_hashes, text_slices, word_hashes, words
 
 _EMPTY = np.uint64(2**64 - 1)
@@ -111,7 +112,7 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
 def _open_buckets(members: DataFrame) -> DataFrame:
     """The members of those buckets that still hold more than one component."""
     mixed = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    return members.join(mixed, "key")
+    return members.join(apart(mixed, "key"), "key")
 
 
 def _tile(percent: int):
@@ -173,15 +174,17 @@ def _across(members: DataFrame, sets: DataFrame, percent: int, block: int, large
     becomes a row, and no task holds more than two blocks.
     """
     hubs = members.groupBy("key").agg(F.min("node").alias("hub"))
-    joined = components(cut(members.join(hubs, "key").select("node", "hub").distinct()))
+    spokes = cut(members.join(apart(hubs, "key"), "key").select("node", "hub").distinct())
+    joined = components(spokes)
+    release(spokes)
     named = joined.withColumnRenamed("root", "group")
     nodes = members.select("node", "n", "root").distinct().join(named, "node")
     sizes = nodes.groupBy("group").agg(F.sum("n").alias("total"))
     whole = nodes.join(sizes.where(F.col("total") <= large), "group").select("group", "node", "root", "total")
-    apart = members.join(named, "node").join(sizes.where(F.col("total") > large).select("group"), "group", "left_semi")
-    apart = apart.select(F.col("key").cast("string").cast("binary").alias("group"), "node", "root", "n")
-    parts = apart.groupBy("group").agg(F.sum("n").alias("total"))
-    every = whole.unionByName(apart.join(parts, "group").select("group", "node", "root", "total"))
+    by_band = members.join(named, "node").join(sizes.where(F.col("total") > large).select("group"), "group", "left_semi")
+    by_band = by_band.select(F.col("key").cast("string").cast("binary").alias("group"), "node", "root", "n")
+    parts = by_band.groupBy("group").agg(F.sum("n").alias("total"))
+    every = whole.unionByName(by_band.join(parts, "group").select("group", "node", "root", "total"))
     blocks = F.ceil(F.col("total") / block).cast("int")
     dealt = every.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(sets, "node")
     placed = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -218,7 +221,7 @@ def near_duplicates(
 
     placed = classes.select("node", "n", F.explode("keys").alias("key"))
     shared = placed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot <> other").select("key", "pivot")
-    members = cut(placed.join(shared, "key"))
+    members = cut(placed.join(apart(shared, "key"), "key"))
 
     wanted = members.select("node").distinct()
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -228,15 +231,19 @@ def near_duplicates(
 
     count = members.count()
     pairs = members.where("node <> pivot").groupBy("node").agg(F.min("pivot").alias("b")).withColumnRenamed("node", "a")
-    labels = components(cut(_verified(pairs, sets, percent), count))
-    members = cut(_open_buckets(_labelled(members.select("key", "node", "n"), labels)), count)
-    if not members.isEmpty():
-        links = cut(_across(members, sets, percent, block, large))
+    verified = cut(_verified(pairs, sets, percent), count)
+    labels = components(verified)
+    opened = cut(_open_buckets(_labelled(members.select("key", "node", "n"), labels)), count)
+    release(members, verified)
+    if not opened.isEmpty():
+        links = cut(_across(opened, sets, percent, block, large))
         labels = components(links.unionByName(labels.toDF("a", "b")))
+        release(links)
+    release(opened, sets)
 
     named = _labelled(classes.select("node", "first_id"), labels)
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_node = named.join(least, "root").select("node", "component_id")
+    of_node = named.join(apart(least, "root"), "root").select("node", "component_id")
     out = base.join(of_node, "node", "left")
     component = F.when(F.col("id").isNotNull(), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id")).withColumn(

@@ -21,7 +21,8 @@ from pyspark.sql import types as T
 
 from millrace.core.deploy import ship
 from millrace.core.durable import cut
-from millrace.llm.components import components
+from millrace.graph.components import components
+from millrace.operators.join import apart
 
 #: Rounding of the few double operations behind a bound.
 _SLACK = 1e-9
@@ -205,7 +206,7 @@ def near_vectors(
     joined = components(found.where("node <> root").select("node", "root"))
     named = nodes.select("node", "first_id", "copies").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    whole = named.join(ids, "root").join(linked, "node").select("node", "component_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    whole = named.join(apart(ids, "root"), "root").join(linked, "node").select("node", "component_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
     out = base.select("id", "node").join(whole, "node", "left")
     component = F.when(F.col("id").isNotNull(), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")))
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id")).withColumn(
