@@ -59,7 +59,7 @@ class Family:
     margin: float
 
 
-#: Words, pairs of words, shapes. Chosen on the held-out labels of sf0.1 alone.
+#: Words, pairs of words, shapes. The README tells how these were chosen.
 FAMILIES = (Family(0.5, 1.0), Family(2.0, 3.0), Family(1.0, 1.0))
 
 
