@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.core.deploy import ship
+from millrace.llm.kept import kept, tidy
 from millrace.llm.text import text_slices
 
 #: White space as Unicode's White_Space property has it (Python's own class has four control characters more).
@@ -143,16 +144,9 @@ class ByteBPE:
         return b"".join(map(self._bytes.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
 
 
-_ready: dict[str, ByteBPE] = {}
-
-
 def tokenizer(spec: str) -> ByteBPE:
     """The tokenizer of a vocabulary file's text; a worker builds it once."""
-    key = hashlib.sha256(spec.encode()).hexdigest()
-    if key not in _ready:
-        _ready.clear()
-        _ready[key] = ByteBPE(spec)
-    return _ready[key]
+    return kept(("bpe", hashlib.sha256(spec.encode()).hexdigest()), lambda: ByteBPE(spec))
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,5 +171,5 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([part.column("id"), *columns], ["id", *out.names])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
-    coded = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    coded = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), schema)
     return coded.select(F.col("id").alias(id_col), "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "decoded")

@@ -27,6 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from millrace.core.deploy import ship
 from millrace.core.durable import ensure_checkpoint_dir
 from millrace.llm.files import place
+from millrace.llm.kept import kept, tidy
 from millrace.llm.text import fold, mix, shingle_hashes, text_slices, word_hashes, words
 
 #: Bits of a fingerprint, and the most of them that may differ. Two sets with a weighted similarity of 0.8 differ in
@@ -189,7 +190,7 @@ def prepared(items: DataFrame, item_id: str, item_text: str, width: int) -> Data
 
     own = items.select(F.col(item_id).alias("item"), F.col(item_text).alias("text")).where(F.length("text") > 0)
     schema = T.StructType([own.schema["item"]]).add("n", "long").add("bag", "binary").add("print", "binary")
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(tidy(run), schema)
 
 
 class Lots:
@@ -206,14 +207,13 @@ class Lots:
         self.schema = pa.schema([("item", to_arrow_type(items.schema[item_id].dataType)), ("n", pa.int64()), ("bag", pa.binary()), ("print", pa.binary())])
 
     def matcher(self, lot: int) -> Matcher:
-        key = (self.folder, lot)
-        if key not in _loaded:
-            _loaded.clear()
+        def load() -> Matcher:
             system, root = place(self.folder)
             found = system.get_file_info(pa.fs.FileSelector(f"{root}/lot={lot}", allow_not_found=True))
             parts = [pq.ParquetFile(system.open_input_file(f.path)).read().select(self.schema.names) for f in found if f.path.endswith(".parquet")]
-            _loaded[key] = Matcher(pa.concat_tables([p.cast(self.schema) for p in parts]) if parts else self.schema.empty_table(), self.width, self.least)
-        return _loaded[key]
+            return Matcher(pa.concat_tables([p.cast(self.schema) for p in parts]) if parts else self.schema.empty_table(), self.width, self.least)
+
+        return kept(("lot", self.folder, lot), load)
 
     def search(self, batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[list[tuple]]]]:
         """Batches with what each row's text holds, of all lots."""
@@ -236,9 +236,6 @@ class Lots:
         yield from ((part, found) for part, _, found in held)
 
 
-_loaded: dict[tuple, Matcher] = {}
-
-
 def contaminated(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 5, least: float = 0.8, at_once: int = 20_000
 ) -> DataFrame:
@@ -271,7 +268,7 @@ def contaminated(
                 ids = part.column("id").take(pa.array(np.repeat(np.arange(len(found)), [len(own) for own in found])))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(item, kind), pa.array(first, pa.int64()), pa.array(n, pa.int64()), pa.array(score, pa.float64())], ["id", "item", "first_word", "n_words", "similarity"])
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), schema)
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_id), "first_word", "n_words", "similarity")
 
 
@@ -290,4 +287,4 @@ def uncontaminated(
         for part, found in lots.search(batches, text_col):
             yield part.filter(pa.array([not own for own in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -22,6 +22,7 @@ from millrace.core.deploy import ship
 from millrace.core.durable import cut, release
 from millrace.graph.components import components
 from millrace.operators.join import apart
+from millrace.llm.kept import tidy
 from millrace.llm.text import fold, mix, shingle_hashes, text_slices, word_hashes, words
 
 _EMPTY = np.uint64(2**64 - 1)
@@ -74,7 +75,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, rows: int,
             )
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType)]).add("n_shingles", "long").add("node", "binary").add("keys", T.ArrayType(T.LongType()))
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), schema)
 
 
 def _sets(docs: DataFrame, width: int, rows: int, bands: int) -> DataFrame:
@@ -89,7 +90,7 @@ def _sets(docs: DataFrame, width: int, rows: int, bands: int) -> DataFrame:
                 [pa.array(map(_node, sets), pa.binary()), pa.array([s.view(np.int64) for s in sets], longs), pa.array(keys, longs)], ["node", "elements", "keys"]
             )
 
-    return docs.select("text").mapInArrow(run, "node binary, elements array<long>, keys array<long>")
+    return docs.select("text").mapInArrow(tidy(run), "node binary, elements array<long>, keys array<long>")
 
 
 def _similar(a: Column, b: Column, common: Column, percent: int) -> Column:

@@ -9,8 +9,10 @@ digits, punctuation, repetition), which tell apart what is said and how.
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,10 +25,15 @@ from pyspark.sql import types as T
 
 from millrace.core.deploy import ship
 from millrace.core.durable import cut
+from millrace.llm.kept import kept, tidy
 from millrace.llm.text import fold, text_slices
 
 _WORD = re.compile(r"\w+|[^\w\s]+")
 _SHAPES = 16**3
+#: Places whose counts travel as one row.
+_BLOCK = 512
+#: Marks a block that is sent as places and counts.
+_PLACES = 16
 _REMEMBER = 200_000
 
 
@@ -48,9 +55,6 @@ class _Codes(dict):
         return value
 
 
-_codes = _Codes()
-
-
 @dataclass(frozen=True)
 class Family:
     """n-grams of one kind: what is added to their counts, and how far a log ratio has to be from 0 to count, beyond that only."""
@@ -66,7 +70,7 @@ FAMILIES = (Family(0.5, 1.0), Family(2.0, 3.0), Family(1.0, 1.0))
 def features(text: str | None, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The n-grams of each family as places in one table: buckets for words, buckets for pairs, one for each run of shapes."""
     found = _WORD.findall(text or "")
-    codes = np.fromiter(map(_codes.__getitem__, found), np.uint64, len(found))
+    codes = np.fromiter(map(kept("codes", _Codes).__getitem__, found), np.uint64, len(found))
     hashes = codes >> np.uint64(3)
     spoken = (hashes % np.uint64(buckets)).astype(np.int64)
     pairs = (fold([hashes[:-1], hashes[1:]]) % np.uint64(buckets)).astype(np.int64) + buckets
@@ -158,32 +162,69 @@ def known_labels(labels: DataFrame, id_col: str, most: int, folds: int) -> Label
     return Labels(keys[order], np.array(found.column("clean").to_pylist(), dtype=bool)[order], folds)
 
 
+def _pack(counts: np.ndarray) -> bytes:
+    """A block of counts in the narrowest of 1, 2, 4 and 8 bytes each, only those in use with their places if that is shorter; nothing if all are 0."""
+    used = np.flatnonzero(counts)
+    if not len(used):
+        return b""
+    kind = np.min_scalar_type(int(counts.max()))
+    if len(used) * (2 + kind.itemsize) < _BLOCK * kind.itemsize:
+        return bytes([kind.itemsize | _PLACES]) + used.astype("u2").tobytes() + counts[used].astype(kind).tobytes()
+    return bytes([kind.itemsize]) + counts.astype(kind).tobytes()
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    out = np.zeros(_BLOCK, np.int64)
+    if packed:
+        width = packed[0] & ~_PLACES
+        if packed[0] & _PLACES:
+            n = (len(packed) - 1) // (2 + width)
+            out[np.frombuffer(packed, "u2", n, 1)] = np.frombuffer(packed, f"u{width}", n, 1 + 2 * n)
+        else:
+            out[:] = np.frombuffer(packed, f"u{width}", _BLOCK, 1)
+    return out
+
+
+def _packed(blocks: Iterable[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """A row for each block with any counts; 1,000 rows are 8 MB at most."""
+    rows = ((block, _pack(raw), _pack(target)) for block, raw, target in blocks if raw.any())
+    while lot := list(itertools.islice(rows, 1000)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*lot), (pa.int32(), pa.binary(), pa.binary()))], ["block", "raw", "target"])
+
+
 def _counts(texts: DataFrame, labels: Labels, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Counts of each n-gram over all rows and over the clean ones to fit on.
 
-    Each task adds up its own rows first and sends a row for each place in use.
+    Each task adds up its own rows first and sends a row for each block of places with
+    any counts, not for each place: Spark then neither hashes nor sorts millions of rows
+    a task. Tasks that get the blocks add them up as they come; the driver gets a row a block.
     """
-    size = _size(buckets)
+    blocks = -(-_size(buckets) // _BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        raw, target = np.zeros(blocks * _BLOCK, np.int64), np.zeros(blocks * _BLOCK, np.int64)
         for part in text_slices(batches, "text"):
             for value, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist()):
                 places = np.concatenate(features(text, buckets))
                 np.add.at(raw, places, 1)
                 if labels.of(identity(value, text)) == 1:
                     np.add.at(target, places, 1)
-        used = np.flatnonzero(raw)
-        for start in range(0, len(used), 100_000):
-            at = used[start : start + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(raw[at]), pa.array(target[at])], ["place", "raw", "target"])
+        yield from _packed(zip(range(blocks), raw.reshape(blocks, _BLOCK), target.reshape(blocks, _BLOCK)))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = defaultdict(lambda: np.zeros((2, _BLOCK), np.int64))
+        for part in batches:
+            for block, *packed in zip(*(part.column(name).to_pylist() for name in ("block", "raw", "target"))):
+                for total, own in zip(sums[block], packed):
+                    total += _unpack(own)
+        yield from _packed((block, *both) for block, both in sums.items())
 
-    sums = texts.mapInArrow(run, "place int, raw long, target long").groupBy("place").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    table = sums.toArrow()
-    raw, target = np.zeros(size), np.zeros(size)
-    at = table.column("place").to_numpy()
-    raw[at], target[at] = table.column("raw").to_numpy(), table.column("target").to_numpy()
-    return raw, target
+    schema = "block int, raw binary, target binary"
+    table = texts.mapInArrow(tidy(run), schema).repartition("block").mapInArrow(tidy(add), schema).toArrow()
+    raw, target = np.zeros((blocks, _BLOCK)), np.zeros((blocks, _BLOCK))
+    for block, a, b in zip(*(table.column(name).to_pylist() for name in ("block", "raw", "target"))):
+        raw[block], target[block] = _unpack(a), _unpack(b)
+    return raw.ravel()[: _size(buckets)], target.ravel()[: _size(buckets)]
 
 
 def _scored(texts: DataFrame, fitted: Broadcast) -> DataFrame:
@@ -200,7 +241,7 @@ def _scored(texts: DataFrame, fitted: Broadcast) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids, pa.array(scores, pa.float64()), pa.array(bits, pa.int64()), pa.array(known, pa.int32())], ["id", "score", "bits", "known"])
 
     schema = T.StructType([texts.schema["id"]]).add("score", "double").add("bits", "long").add("known", "integer")
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(tidy(run), schema)
 
 
 def kth_largest(rows: DataFrame, column: str, k: int) -> int | None:
@@ -295,4 +336,4 @@ def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
             bits = ordered_bits(np.array([model.noisy(s, k) for s, k in zip(scores, keys)]))
             yield part.filter(pa.array((bits >= least) & (scores > -np.inf)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

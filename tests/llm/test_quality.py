@@ -1,12 +1,14 @@
 import math
 import random
 import re
+import weakref
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import xxhash
 
-from millrace.llm import quality
+from millrace.llm import bpe, kept, quality
 
 DOCS, LABELS = "doc_id long, text string, score double, known int", "doc_id long, quality int, toxic int, text string"
 
@@ -126,3 +128,52 @@ def test_kth_largest(spark):
     assert quality.kth_largest(df, "v", 501) is None
     x = np.array([-np.inf, -2.5, -0.0, 0.0, 1e-9, 3.0, np.inf])
     assert (np.diff(quality.ordered_bits(x)) >= 0).all()
+
+
+def shuffled_rows(spark):
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_tasks_send_rows_of_many_counts(spark):
+    """A task's counts are a row for each 512 places, not for each place; sums are those of all rows and of the clean ones."""
+    rng, buckets, tasks = random.Random(5), 2**10, 4
+    docs = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(300))) for i in range(40)] + [(40, "again " * 70_000), (41, None)]
+    table = spark.createDataFrame(docs, "id long, text string").repartition(tasks).localCheckpoint()
+    keys = np.sort(np.array([key_of(i, None) for i in range(0, 42, 2)], np.uint64))
+    labels = quality.Labels(keys, np.ones(len(keys), bool), 5)
+    before = shuffled_rows(spark)
+    raw, target = quality._counts(table, labels, buckets)
+    assert 0 < shuffled_rows(spark) - before <= tasks * (2 * buckets + 16**3) / 512
+    want = np.zeros((2, 2 * buckets + 16**3))
+    for i, text in docs:
+        for places in quality.features(text, buckets):
+            for total in want[: 1 + (labels.of(key_of(i, text)) == 1)]:
+                np.add.at(total, places, 1)
+    assert raw.max() >= 70_000 and (raw == want[0]).all() and (target == want[1]).all() and 0 < target.sum() < raw.sum()
+
+
+def test_counts_of_any_width_are_packed():
+    for most in (0, 1, 255, 256, 2**16 - 1, 2**16, 2**32 - 1, 2**32, 2**53 + 1, 2**62):
+        for used in ([3], [0, 511], range(512), range(0, 512, 3), range(0, 512, 2)):
+            counts = np.zeros(512, np.int64)
+            counts[used] = most
+            assert (quality._unpack(quality._pack(counts)) == counts).all()
+    one = np.zeros(512, np.int64)
+    assert quality._pack(one) == b"" and len(quality._pack(one + 255)) == 513
+    one[7] = 255
+    assert len(quality._pack(one)) == 4
+
+
+def test_a_worker_keeps_the_memo_of_one_operator():
+    """Words' codes take the place of a tokenizer that an earlier stage left, and the other way round."""
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    left = weakref.ref(bpe.tokenizer(spec))
+    assert bpe.tokenizer(spec) is left()
+    quality.features("some words", 64)
+    assert left() is None and len(kept._kept) == 1
+    bpe.tokenizer(spec)
+    assert not any(isinstance(x, quality._Codes) for x in kept._kept.values())
