@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from millrace.core.durable import cut
 from millrace.llm.arrays import ends, given
+from millrace.operators.join import apart
 
 #: Licence identifiers with the notices by which files state them.
 TEMPLATES = {
@@ -95,6 +96,7 @@ class Weights:
 
     def __init__(self, frequencies: dict[str, int], documents: int, least: float, templates: dict[str, list[str]]):
         vocabulary = _vocabulary(templates)
+        self.documents = documents
         self.idf = {t: math.log((1 + documents) / (1 + frequencies.get(t, 0))) + 1 for t in vocabulary}
         self.unseen = math.log(1 + documents) + 1
         self.templates = [(f"{name}#{k}", name, self._unit(Counter(terms(x)))) for name, texts in templates.items() for k, x in enumerate(texts)]
@@ -132,43 +134,76 @@ def weights(files: DataFrame, text_col: str, least: float) -> tuple[Weights, Wei
 WINDOW = max(len(terms(x)) for kind in (TEMPLATES, PASSAGES) for texts in kind.values() for x in texts) * 3 // 2
 
 
-def _windows(text: Column, pattern: str) -> Column:
-    """All runs (first, last, terms) of two or more lines with at most WINDOW terms, one of them in a line of the pattern.
+def _units(text: Column, pattern: str, whole: Column) -> Column:
+    """What of a text is compared, as an array of (first, last, n, terms).
 
+    Each line with a term, of n terms; terms is empty without a match of the pattern. All runs of two or more such lines
+    with at most WINDOW terms, one of them in a line of the pattern, and where whole holds all terms at -1: n is null.
     Lines without a term, as empty ones or those of comment marks, don't count; first and last are line numbers.
     """
     lines = F.filter(F.transform(_lines(text), lambda x, i: F.struct(i.alias("i"), _terms(x).alias("terms"), x.rlike(pattern).cast("long").alias("key"))), lambda x: F.size(x["terms"]) > 0)
     before = lambda sums, k: F.when(k > 0, F.get(sums, k - 1)).otherwise(0)
+    none = F.expr("array()").cast("array<struct<first:int,last:int,n:int,terms:array<string>>>")
+
+    def unit(first: Column, last: Column, n: Column, found: Column) -> Column:
+        return F.struct(first.cast("int").alias("first"), last.cast("int").alias("last"), n.cast("int").alias("n"), found.alias("terms"))
+
+    def terms_of(own: Column) -> Column:
+        return F.flatten(F.transform(own, lambda x: x["terms"]))
 
     def sums(own: Column) -> Column:
         return F.struct(own.alias("own"), ends(F.transform(own, lambda x: F.size(x["terms"]).cast("long"))).alias("n"), ends(F.transform(own, lambda x: x["key"])).alias("keys"))
 
     def window(c: Column, k: Column, j: Column) -> Column:
-        return F.struct(F.get(c["own"], k)["i"].alias("first"), F.get(c["own"], j)["i"].alias("last"), F.flatten(F.transform(F.slice(c["own"], k + 1, j - k + 1), lambda x: x["terms"])).alias("terms"))
+        return unit(F.get(c["own"], k)["i"], F.get(c["own"], j)["i"], F.lit(None), terms_of(F.slice(c["own"], k + 1, j - k + 1)))
 
-    def of(c: Column) -> Column:
+    def runs(c: Column) -> Column:
         size = F.size(c["own"])
         held = lambda k, j: (F.get(c["n"], j) - before(c["n"], k) <= WINDOW) & (F.get(c["keys"], j) > before(c["keys"], k))
         ends_of = lambda k: F.filter(F.sequence(k + 1, F.least(k + WINDOW, size - 1)), lambda j: held(k, j))
         return F.flatten(F.transform(F.sequence(F.lit(0), size - 2), lambda k: F.transform(ends_of(k), lambda j: window(c, k, j))))
 
-    none = F.expr("array()").cast("array<struct<first:int,last:int,terms:array<string>>>")
-    return given(lines, lambda own: F.when(F.size(own) > 1, given(sums(own), of)).otherwise(none))
+    def of(own: Column) -> Column:
+        single = F.transform(own, lambda x: unit(x["i"], x["i"], F.size(x["terms"]), F.when(x["key"] > 0, x["terms"]).otherwise(F.expr("array()").cast("array<string>"))))
+        several = F.when(F.size(own) > 1, given(sums(own), runs)).otherwise(none)
+        return F.concat(single, several, F.when(whole, F.array(unit(F.lit(-1), F.lit(-1), F.lit(None), terms_of(own)))).otherwise(none))
+
+    return given(lines, of)
+
 
+#: What tells the units of a table apart.
+UNIT = ["path", "row", "first", "last", "n"]
 
-def _notices(units: DataFrame, w: Weights, least: float) -> DataFrame:
-    """(path, unit, licence, score) of each unit (path, unit, terms) that comes to least with a template."""
+
+def _notices(units: DataFrame, kinds: list[Weights], least: float) -> DataFrame:
+    """One row of each unit, with best: (by, licence) of the best template, by is the negative score; null if none comes to least.
+
+    Rows of one path and row must lie in one partition; then nothing is shuffled.
+    """
     spark = units.sparkSession
-    table = spark.createDataFrame([(key, name, t, x) for key, name, unit in w.templates for t, x in unit.items()], "template string, licence string, term string, x double")
-    idf = spark.createDataFrame(list(w.idf.items()), "term string, idf double")
-    counted = units.select("path", "unit", F.explode("terms").alias("term")).groupBy("path", "unit", "term").agg(F.count(F.lit(1)).alias("tf"))
-    # both tables have one row for each term of a template and so a fixed size
-    weighed = counted.join(F.broadcast(idf), "term", "left").withColumn("y", F.col("tf") * F.coalesce("idf", F.lit(w.unseen)))
-    lengths = weighed.groupBy("path", "unit").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("length"))
-    dots = weighed.join(F.broadcast(table), "term").groupBy("path", "unit", "template", "licence").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    scored = dots.join(lengths, ["path", "unit"]).withColumn("score", F.round(F.col("dot") / F.col("length"), 9))
-    best = F.max_by(F.struct("licence", "score"), F.struct("score", F.col("licence") == "", F.col("template")))
-    return scored.where(F.col("score") >= least).groupBy("path", "unit").agg(best.alias("best")).select("path", "unit", "best.licence", "best.score")
+    parts: dict[str, list] = {t: [] for w in kinds for t in w.idf}
+    for kind, w in enumerate(kinds):
+        for key, name, unit in w.templates:
+            for t, x in unit.items():
+                parts[t].append((kind, key, name, x))
+    rows = [(t, [w.idf.get(t, w.unseen) for w in kinds], found) for t, found in parts.items()]
+    # one row for each term of a template and so of a fixed size
+    table = spark.createDataFrame(rows, "term string, idf array<double>, parts array<struct<kind:int,template:string,licence:string,x:double>>")
+    counted = units.select(*UNIT, F.explode_outer("terms").alias("term")).groupBy(*UNIT, "term").agg(F.count("term").alias("tf"))
+    weighed = counted.join(F.broadcast(table), "term", "left").withColumn("idf", F.coalesce("idf", F.array(*(F.lit(w.unseen) for w in kinds))))
+    y = lambda kind: F.col("tf") * F.get("idf", kind)
+    part = lambda kind, template, licence, v: F.struct(kind.alias("kind"), template.alias("template"), licence.alias("licence"), v.alias("v"))
+    squares = F.array(*(part(F.lit(k), F.lit(""), F.lit(""), y(F.lit(k)) * y(F.lit(k))) for k in range(len(kinds))))
+    products = F.transform("parts", lambda p: part(p["kind"], p["template"], p["licence"], p["x"] * y(p["kind"])))
+    summed = weighed.select(*UNIT, F.explode(F.when(F.col("parts").isNull(), squares).otherwise(F.concat(squares, products))).alias("p")).groupBy(*UNIT, "p.kind", "p.template", "p.licence").agg(F.sum("p.v").alias("v"))
+    # a text's length by each kind of weights, and its products with at most all templates
+    length = F.array(*(F.sqrt(F.max(F.when((F.col("template") == "") & (F.col("kind") == k), F.col("v")))) for k in range(len(kinds))))
+    dots = F.collect_list(F.when(F.col("template") != "", F.struct("kind", "template", "licence", "v")))
+    by_unit = summed.groupBy(*UNIT).agg(length.alias("length"), dots.alias("dots"))
+    scores = F.filter(F.transform("dots", lambda p: F.struct(F.round(p["v"] / F.get("length", p["kind"]), 9).alias("score"), p["template"], p["licence"], p["kind"])), lambda p: p["score"] >= least)
+    best = lambda c: [F.array_max(F.filter(c, lambda p: p["kind"] == k)) for k in range(len(kinds))]
+    first = lambda c: F.array_min(F.array(*(F.when(x.isNotNull(), F.struct((-x["score"]).alias("by"), x["licence"].alias("licence"))) for x in best(c))))
+    return by_unit.select(*UNIT, given(scores, first).alias("best"))
 
 
 def _best(score: str = "score", licence: str = "licence") -> Column:
@@ -204,28 +239,26 @@ def licences(files: DataFrame, path_col: str = "path", text_col: str = "text", l
     pattern = r"(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(t) for t in keys) + r")(?![a-z0-9])" if keys else "(?!)"
     key = F.coalesce("path", F.lit("\0")).alias("path")
     named = F.element_at(F.split(F.coalesce("path", F.lit("")), "/", -1), -1).rlike(NAMED)
-    # few files; what follows reads them often
-    hits = cut(rows.where(F.col("text").rlike(pattern)).select(key, F.monotonically_increasing_id().alias("row"), F.size(_terms(F.col("text"))).alias("n_terms"), F.when(named, F.col("text")).alias("whole_text"), "text"))
-    unit = lambda first, last: F.struct("row", first.cast("int").alias("first"), last.cast("int").alias("last")).alias("unit")
-    lines = hits.select("path", "row", F.posexplode(_lines(F.col("text"))).alias("at", "line")).where(F.col("line").rlike(pattern)).select("path", unit(F.col("at"), F.col("at")), _terms(F.col("line")).alias("terms"))
-    runs = hits.select("path", "row", F.explode(_windows(F.col("text"), pattern)).alias("w")).select("path", unit(F.col("w.first"), F.col("w.last")), "w.terms")
-    whole = hits.where("whole_text is not null").select("path", unit(F.lit(-1), F.lit(-1)), _terms(F.col("whole_text")).alias("terms"))
-    units = lines.unionByName(runs).unionByName(whole)
-    found = cut(_notices(units, short, least).unionByName(_notices(units, long, least)))
+    texts = rows.where(F.col("text").rlike(pattern)).select(key, F.monotonically_increasing_id().alias("row"), "text", named.alias("whole"))
+    # every such text has units; an inner explode would make them a second time, to see whether there are any
+    # dealt once by text; up to the sums of each path nothing is shuffled again, and texts never are
+    units = texts.select("path", "row", F.explode_outer(_units(F.col("text"), pattern, F.col("whole"))).alias("u")).select("path", "row", "u.*").repartition("path", "row")
+    found = _notices(units, [short, long], least).where("best is not null or n is not null")
     # words of lines found by themselves, and of windows without such a line
-    covered = found.where("unit.first >= 0").select("path", "unit.row", F.explode(F.sequence("unit.first", "unit.last")).alias("at"), (F.col("unit.first") == F.col("unit.last")).alias("one"), F.struct("unit.first", "unit.last").alias("run"))
-    held = covered.withColumn("by_line", F.max("one").over(Window.partitionBy("path", "row", "at"))).withColumn("mixed", F.max("by_line").over(Window.partitionBy("path", "row", "run")))
-    counted = held.where(F.col("one") | ~F.col("mixed")).select("path", "row", "at").distinct()
-    line_words = hits.select("path", "row", F.posexplode(F.transform(_lines(F.col("text")), lambda x: F.size(_terms(x)))).alias("at", "n_words"))
-    n_words = counted.join(line_words, ["path", "row", "at"]).groupBy("path").agg(F.sum("n_words").alias("n"))
-    own = found.groupBy("path").agg(_best().alias("own")).join(n_words, "path", "left")
+    held = F.col("best").isNotNull() & (F.col("first") >= 0)
+    covered = found.withColumn("one", held & (F.col("first") == F.col("last"))).withColumn("at", F.explode(F.when(held, F.sequence("first", "last")).otherwise(F.array("first"))))
+    by_line = covered.withColumn("by_line", F.max("one").over(Window.partitionBy("path", "row", "at")))
+    mixed = by_line.withColumn("mixed", F.max("by_line").over(Window.partitionBy("path", "row", "first", "last")))
+    by_at = mixed.groupBy("path", "row", "at").agg(F.min("best").alias("best"), F.max("n").alias("n"), F.max(held & (F.col("one") | ~F.col("mixed"))).alias("counted"))
+    by_path = by_at.groupBy("path").agg(F.min("best").alias("own"), F.sum(F.when(F.col("counted"), F.col("n"))).alias("n"), F.sum("n").alias("n_terms")).where("own is not null")
+    # a row for each path at most, few in most tables: not a file for each partition
+    own = cut(by_path, rows=short.documents)
 
     paths = rows.select(key).groupBy("path").agg(F.count(F.lit(1)).alias("rows"))
-    sizes = hits.groupBy("path").agg(F.sum("n_terms").alias("n_terms"))
     directory = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
     inside = F.col("path").contains("/")
     files_named = F.element_at(F.split("path", "/", -1), -1).rlike(NAMED)
-    stating = own.join(sizes, "path").where(inside & (files_named | (F.col("n") >= share * F.col("n_terms"))))
+    stating = own.where(inside & (files_named | (F.col("n") >= share * F.col("n_terms"))))
     stated = stating.select(directory.alias("dir"), (-F.col("own.by")).alias("score"), F.col("own.licence").alias("licence")).groupBy("dir").agg(_best().alias("given"))
 
     dirs = paths.where(inside).select(directory.alias("dir")).distinct()
@@ -233,7 +266,7 @@ def licences(files: DataFrame, path_col: str = "path", text_col: str = "text", l
     climbs = dirs.select("dir", F.explode(above).alias("a")).select("dir", "a.depth", F.col("a.up").alias("up"))
     nearest = climbs.join(stated.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(F.max_by(F.struct("given", "up"), "depth").alias("from"))
 
-    out = paths.join(own.select("path", "own"), "path", "left").withColumn("dir", F.when(inside, directory)).join(nearest, "dir", "left")
+    out = paths.join(own.select("path", "own"), "path", "left").withColumn("dir", F.when(inside, directory)).join(apart(nearest, "dir"), "dir", "left")
     return out.select(
         F.nullif("path", F.lit("\0")).alias(path_col),
         F.coalesce("own.licence", "from.given.licence").alias("licence"),

@@ -1,6 +1,8 @@
 import math
 from collections import Counter, defaultdict
+from pathlib import Path
 
+from millrace.core.durable import ensure_checkpoint_dir
 from millrace.llm import license_scan as ls
 
 FIELDS = "path string, text string, licence int, dir string"
@@ -109,3 +111,15 @@ def test_wrapped_notices_and_full_texts_are_found(spark):
 
 def test_empty_table(spark):
     assert ls.licences(spark.createDataFrame([], FIELDS)).collect() == []
+
+
+def test_checkpoints_are_few_files_for_a_table_in_many_parts(spark):
+    text = "some prose of no interest to anyone\n"
+    rows = [(f"/s/{i % 3}/{i}", text + ("Released under the MIT License." if i % 2 else ""), 1, "clash") for i in range(80)]
+    table = spark.createDataFrame(rows, FIELDS).repartition(40)
+    ensure_checkpoint_dir(spark)
+    written = lambda: set(Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).rglob("part-*"))
+    before = written()
+    found = {r.path: r.licence for r in ls.licences(table).collect()}
+    assert found == {p: "MIT" if int(p.rsplit("/", 1)[1]) % 2 else None for p in found} and len(found) == 80
+    assert len(written() - before) <= 2
