@@ -1,11 +1,15 @@
 """Queries over whole tables: every row of the inputs reaches the operator."""
 
 import re
+import threading
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 
 import __spark_entry__ as entry
+from millrace.functions import text as X
+from millrace.table import Table
 
 SF = "/root/testdata/sf0.001"
 SPACE, MARKS = " \t\n\x0b\f\r", "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -58,3 +62,26 @@ def test_ngrams_are_of_whole_documents(spark, tmp_path):
     spark.createDataFrame(texts + skewed, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     for name, n, character in (("word_ngrams", 2, False), ("char_ngrams", 3, True)):
         assert bags(entry.queries()[name](spark, str(tmp_path)).collect()) == brute_bags(texts + skewed, n, character)
+
+
+def test_ngrams_of_characters_take_time_by_length(spark):
+    """A million characters, for which counting to each n-gram from the start would be 500 billion steps."""
+    text = "".join(f"{i * i:x}é " for i in range(110_000))
+    given = Table.of(spark, {"text": [text]})["text"]
+    for n in (3, X.LONGEST + 1):
+        limit = threading.Timer(90, spark.sparkContext.cancelAllJobs)
+        limit.start()
+        try:
+            (got,) = given.count_ngrams(n, method="character").to_list()
+        finally:
+            limit.cancel()
+        assert got == brute_bags([(0, text)], n, True)[0]
+
+
+def test_ngrams_of_characters_by_lot(monkeypatch):
+    texts = [None, "", "a", "ab", " \n", "😀é!x😀é x", "a\x0bb c d", "\0" * 5, "abcabcabcd" * 9]
+    for characters, n in ((1, 1), (7, 2), (20, 3), (10**6, X.LONGEST)):
+        monkeypatch.setattr(X, "CHARACTERS", characters)
+        got = X.character_bags(pa.array(texts), n, MARKS + SPACE).to_pylist()
+        want = brute_bags(enumerate(texts), n, True)
+        assert [dict(g) for g in got] == [want.get(i, {}) for i in range(len(texts))]
