@@ -109,6 +109,9 @@ def USER(f, *columns):
 
 MEAN, VARIANCE, STDV = AVG, VAR, STD
 
+#: Aggregators of one column that stay as they are when each row of a group is repeated equally often.
+EVEN = ("Min", "Max", "Avg", "Var", "Stdv", "CountDistinct", "Distinct")
+
 
 def _numbers(c: Column, kind: T.DataType) -> Column:
     return F.when(~F.isnan(c), c) if isinstance(kind, T.DoubleType) else c

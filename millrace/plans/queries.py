@@ -340,15 +340,15 @@ def join_dict_keys(spark, sf):
 
 @query("SELECT a.k, count(*) AS n, sum(a.x)::BIGINT AS x, sum(b.x)::BIGINT AS y FROM (SELECT CASE WHEN c_custkey % 2 = 0 THEN c_nationkey::BIGINT END AS k, c_custkey AS x FROM customer) a JOIN (SELECT CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey::BIGINT END AS k, s_suppkey AS x FROM supplier) b ON a.k IS NOT DISTINCT FROM b.k GROUP BY ALL")
 def join_null_keys(spark, sf):
-    """Half of each table has a null key; the joined rows are counted and added up for each key."""
+    """Half of each table has a null key; the joined rows are counted and added up for each key, from counts and sums of each side."""
 
     def side(name, key, nation):
         t = _t(spark, sf, name)
         t["k"] = Col(t.rows, F.when(F.col(key) % 2 == 0, F.col(nation)), t[nation].kind)
         return t[["k", key]].rename({key: "x"})
 
-    joined = side("customer", "c_custkey", "c_nationkey").join(side("supplier", "s_suppkey", "s_nationkey"), on="k")
-    return joined.groupby("k", {"n": agg.COUNT(), "x": agg.SUM("x"), "y": agg.SUM("x.1")}).frame()
+    suppliers = side("supplier", "s_suppkey", "s_nationkey")
+    return side("customer", "c_custkey", "c_nationkey").join_groupby(suppliers, "k", {"n": agg.COUNT(), "x": agg.SUM("x"), "y": agg.SUM("x.1")}).frame()
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")

@@ -854,6 +854,40 @@ class Table:
         df, order = self._plain()
         return self._settled(G.grouped(df, keys, aggs, self.kinds, order), [])
 
+    def join_groupby(self, right: Table, on, operations) -> Table:
+        """The rows of join(right, on).groupby(left keys, operations), but for rounding, without the pairs of a key's rows.
+
+        Each side is grouped by the keys first, so a key with a rows on the left and b on the right
+        takes a + b steps, not a times b. Each of a side's rows would be repeated as often as the
+        other side has the key: sums and counts are multiplied by that, what G.EVEN lists stays.
+        Operations are over columns by their names in the join; others than these need the join itself.
+        """
+        from millrace.operators.join import key_pairs, right_names
+
+        pairs = key_pairs(self.kinds, right.kinds, on)
+        of_right = {new: n for n, new in right_names(self.kinds, right.kinds, pairs).items()}
+        found: tuple[dict[str, G.Agg], dict[str, G.Agg]] = {"__rows0": G.COUNT()}, {"__rows1": G.COUNT()}
+        aggs, sides = G.named(operations), {}
+        for k, (name, a) in enumerate(aggs.items()):
+            if a.op == "Count":
+                continue
+            c = a.columns[0]
+            if c not in self.kinds and c not in of_right:
+                raise KeyError(c)
+            sides[name] = side = int(c in of_right)
+            kind = right.kinds[of_right[c]] if side else self.kinds[c]
+            if a.op not in G.EVEN and a.op not in ("Sum", "NonnullCount") or a.op == "Sum" and not K.is_number(kind):
+                raise ValueError(f"{a.op} of {c} needs the joined rows: join, then group")
+            found[side][f"__{k}"] = G.Agg(a.op, (of_right.get(c, c),), a.extra)
+        both = self.groupby(list(pairs), found[0]).join(right.groupby(list(dict.fromkeys(pairs.values())), found[1]), on=pairs)
+        out = both[list(pairs)]
+        for k, (name, a) in enumerate(aggs.items()):
+            if a.op == "Count":
+                out[name] = both["__rows0"] * both["__rows1"]
+            else:
+                out[name] = both[f"__{k}"] if a.op in G.EVEN else both[f"__{k}"] * both[f"__rows{1 - sides[name]}"]
+        return out
+
     def group(self, key_columns):
         """The groups of rows with equal keys, each a table when asked for."""
         from millrace.operators.dataflow import Groups

@@ -6,9 +6,12 @@ from collections import Counter
 
 import duckdb
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from millrace.functions import text as X
+from millrace.operators import group as agg
 from millrace.table import Table
 
 SF = "/root/testdata/sf0.001"
@@ -85,3 +88,32 @@ def test_ngrams_of_characters_by_lot(monkeypatch):
         got = X.character_bags(pa.array(texts), n, MARKS + SPACE).to_pylist()
         want = brute_bags(enumerate(texts), n, True)
         assert [dict(g) for g in got] == [want.get(i, {}) for i in range(len(texts))]
+
+
+def test_null_keys_take_no_time_by_pair(spark, tmp_path):
+    """90 billion pairs of null keys, and one pair with a key."""
+    for name, key, nation in (("customer", "c_custkey", "c_nationkey"), ("supplier", "s_suppkey", "s_nationkey")):
+        spark.sql(f"SELECT 2 * id + 1 AS {key}, 7 AS {nation} FROM range(300000) UNION ALL SELECT 2L, 7").write.parquet(f"{tmp_path}/{name}.parquet")
+    limit = threading.Timer(90, spark.sparkContext.cancelAllJobs)
+    limit.start()
+    try:
+        got = {r.k: (r.n, r.x, r.y) for r in entry.queries()["join_null_keys"](spark, str(tmp_path)).collect()}
+    finally:
+        limit.cancel()
+    n, odd = 300_000, 300_000**2
+    assert got == {None: (n * n, odd * n, odd * n), 7: (1, 2, 2)}
+
+
+def test_groups_of_a_join_without_its_rows(spark):
+    left = Table.of(spark, {"k": [None, None, 1, 1, 2, 3, None], "j": ["a", None, "a", "a", None, "b", None], "x": [1, None, 3, 4, None, 6, 7], "f": [0.5, 1.5, None, 2.5, None, 1.0, -3.0]})
+    right = Table.of(spark, {"k": [None, 1, 1, 2, 2, 4, None, None], "i": [None, "a", "b", None, None, "b", None, "a"], "x": [10, None, 30, 40, 50, 60, 10, None]})
+    ops = {"n": agg.COUNT(), "s": agg.SUM("x"), "t": agg.SUM("x.1"), "f": agg.SUM("f"), "m": agg.NONNULL_COUNT("x"), "o": agg.NONNULL_COUNT("x.1"), "lo": agg.MIN("x.1"), "hi": agg.MAX("x"), "a": agg.AVG("x"), "v": agg.VAR("f"), "d": agg.COUNT_DISTINCT("x.1")}
+    for on, keys in (("k", ["k"]), ({"k": "k", "j": "i"}, ["k", "j"]), ({"x": "k", "k": "k"}, ["x", "k"])):
+        want, got = (t.frame().withColumns({c: F.round(c, 9) for c in "fav"}) for t in (left.join(right, on=on).groupby(keys, ops), left.join_groupby(right, on, ops)))
+        assert got.schema.simpleString() == want.schema.simpleString()
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert not left.head(0).join_groupby(right, "k", ops).num_rows()
+    with pytest.raises(ValueError):
+        left.join_groupby(right, "k", {"c": agg.CONCAT("x")})
+    with pytest.raises(KeyError):
+        left.join_groupby(right, "k", {"c": agg.SUM("y")})
